@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tempograin.llm.exact_dedup import exact_dedup
+from tempograin.llm.secrets import secret_spans, spans_digest
+from tempograin.llm.simhash import hex_fingerprint, simhash_components
+from tempograin.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +38,21 @@ SELECT doc_id,
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", *spans_digest())
+
+
+@query
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
