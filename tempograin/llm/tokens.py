@@ -2,7 +2,7 @@
 
 A text's count is the sum over its pre-tokens.  The first tier is a compact table of frequent pre-tokens, broadcast to all workers: the
 tokenizer's own vocabulary, which is the record of what was frequent when it was trained, so its size is bounded by the
-vocabulary's.  The second tier is a cache in each worker for what the first lacks; its misses are encoded in batches.
+vocabulary's.  The second tier is a cache in each worker for what the first lacks; a miss is encoded once.
 Nothing is shuffled, and counts don't depend on what either tier holds.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,11 @@ from tempograin.llm.common import own_columns
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
 #: Scripts whose character classes are old and settled; texts beyond are left to the library as a whole.
 UNUSUAL = regex.compile("[^\u0000-ɏͰ-ӿ‐-⁞₠-₿]")
+#: How byte-level BPE writes a byte: printable Latin-1 as itself, the others in order from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Entries of a worker's cache; a full one starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def frequent(path: str) -> bytes:
@@ -44,6 +46,23 @@ def unpack(blob: bytes) -> dict[str, int]:
     return dict(zip(blob[4 + 2 * n :].decode().split("\0") if n else [], np.frombuffer(blob, "<u2", n, 4).tolist(), strict=True))
 
 
+class Lengths(dict):
+    """Both tiers as one look-up: what isn't there yet is encoded once and kept."""
+
+    def __init__(self, first: dict[str, int], tok, most: int):
+        super().__init__(first)
+        self.first, self.model, self.most = first, tok.model, most + len(first)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS)))
+        return n
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.first)
+
+
 class Counter:
     """Counts tokens of texts with both tiers."""
 
@@ -53,34 +72,16 @@ class Counter:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.first, self.cache, self.most = unpack(blob), {}, cache
+        self.lengths = Lengths(unpack(blob), self.tok, cache)
 
     def whole(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def count(self, texts: list[str]) -> list[int]:
-        first, cache, out, parts = self.first, self.cache, [], []
-        for text in texts:
-            if UNUSUAL.search(text) or any(s in text for s in self.special):
-                out.append(self.whole(text))
-                parts.append(())
-            else:
-                out.append(0)
-                parts.append(PRE_TOKEN.findall(text))
-        if len(cache) > self.most:
-            cache.clear()
-        new = [p for p in set(chain.from_iterable(parts)) if p not in first and p not in cache]
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            cache.update(zip(some, (len(e.ids) for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        for k, p in enumerate(parts):
-            if p:
-                out[k] = sum([first[w] if w in first else cache[w] for w in p])
-        return out
-
-
-#: Texts of about this many characters are counted together, so that memory holds however long texts are.
-CHUNK = 4_000_000
+    def count(self, text: str) -> int:
+        if UNUSUAL.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        self.lengths.trim()
+        return sum(map(self.lengths.__getitem__, PRE_TOKEN.findall(text)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
@@ -97,15 +98,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
         for batch in batches:
             if counter is None:
                 counter = Counter(tokenizer, sent.value, cache)
-            n: list[int] = []
-            held, size = [], 0
-            for t in batch["text"]:
-                held.append(t.as_py() or "")
-                size += len(held[-1])
-                if size > CHUNK:
-                    n += counter.count(held)
-                    held, size = [], 0
-            n += counter.count(held)
+            n = [counter.count(t.as_py() or "") for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     d = own_columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
