@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tempograin.llm.exact_dedup import exact_dedup
+from tempograin.llm.mixing import mix
 from tempograin.llm.secrets import secret_spans, spans_digest
 from tempograin.llm.simhash import hex_fingerprint, simhash_components
 from tempograin.llm.tokens import token_counts
@@ -52,6 +53,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", *spans_digest())
 
 
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 @query
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
