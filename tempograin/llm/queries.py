@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tempograin.llm.exact_dedup import exact_dedup
 from tempograin.llm.mixing import mix
 from tempograin.llm.secrets import secret_spans, spans_digest
 from tempograin.llm.simhash import hex_fingerprint, simhash_components
 from tempograin.llm.tokens import token_counts
+from tempograin.llm.warc import read_records, write_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +64,26 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_records(write_pages(table(spark, sf_dir, "pages")))
+    number = lambda c: F.col(c).try_cast("long")
+    return read.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
+SQL["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead FROM pages
+), bits AS (
+  SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(sha1(payload), i, 1))::INTEGER), 4, '0')), 'string_agg', '') AS b FROM p
+)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+         + 16 * substr(b, i * 5 + 1, 1)::INTEGER + 8 * substr(b, i * 5 + 2, 1)::INTEGER + 4 * substr(b, i * 5 + 3, 1)::INTEGER
+         + 2 * substr(b, i * 5 + 4, 1)::INTEGER + substr(b, i * 5 + 5, 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM bits
+"""
