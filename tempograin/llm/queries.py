@@ -11,6 +11,7 @@ from tempograin.llm.common import own_columns
 from tempograin.llm.decontaminate import benchmark_hits
 from tempograin.llm.exact_dedup import exact_dedup
 from tempograin.llm.mixing import mix
+from tempograin.llm.quality import held_out, learn, quality_scores
 from tempograin.llm.secrets import secret_spans, spans_digest
 from tempograin.llm.simhash import hex_fingerprint, simhash_components
 from tempograin.llm.tokens import token_counts
@@ -45,6 +46,13 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
+    scored = quality_scores(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
