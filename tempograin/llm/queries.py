@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tempograin.llm.common import own_columns
 from tempograin.llm.decontaminate import benchmark_hits
 from tempograin.llm.exact_dedup import exact_dedup
+from tempograin.llm.licenses import LEAST, NOTICES, SHINGLE, license_matches, template_words, window_class
 from tempograin.llm.mixing import mix
 from tempograin.llm.quality import held_out, learn, quality_scores
 from tempograin.llm.secrets import secret_spans, spans_digest
@@ -46,6 +47,45 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(table(spark, sf_dir, "documents"))
+    best = F.coalesce(F.round(F.array_max("matches.containment"), 6), F.lit(0.0))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join("matches.license", ",").alias("licenses"), best.alias("best_containment"))
+
+
+def _license_sql() -> str:
+    """Every window of every document against every notice, without MinHash."""
+    rows = [(name, k, template_words(t)) for name, texts in NOTICES.items() for k, t in enumerate(texts)]
+    notice = ", ".join(f"('{n}', {k}, {window_class(len({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}))}, {w})" for n, k, w in rows)
+    return f"""
+WITH n(license, part, w, ws) AS (VALUES {notice}),
+t AS (
+  SELECT DISTINCT license, part, w, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM n)
+), sizes AS (SELECT license, part, count(*) AS n FROM t GROUP BY license, part),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS ws FROM documents
+), g AS (
+  SELECT r, i - 1 AS i, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM d)
+), m AS (
+  SELECT r, license, part, (i // (w // 2) - o) * (w // 2) AS j, count(DISTINCT g.s) AS hit
+  FROM g JOIN t ON g.s = t.s CROSS JOIN (VALUES (0), (1)) AS x(o)
+  WHERE i // (w // 2) >= o GROUP BY ALL
+), b AS (
+  SELECT r, license, max(hit / n) AS c FROM m JOIN sizes USING (license, part) WHERE hit / n >= {LEAST} GROUP BY r, license
+), l AS (
+  SELECT r, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses, max(c) AS c FROM b GROUP BY r
+)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(round(c, 6), 0.0)::DOUBLE AS best_containment
+FROM d LEFT JOIN l USING (r)
+"""
+
+
+SQL["op2_license_scan"] = _license_sql()
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
