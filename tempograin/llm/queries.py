@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tempograin.llm.common import own_columns
 from tempograin.llm.decontaminate import benchmark_hits
 from tempograin.llm.exact_dedup import exact_dedup
+from tempograin.llm.language import identify, learn_language_model
 from tempograin.llm.licenses import LEAST, NOTICES, SHINGLE, license_matches, template_words, window_class
 from tempograin.llm.mixing import mix
 from tempograin.llm.quality import held_out, learn, quality_scores
@@ -93,6 +94,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), *learn_language_model(table(spark, sf_dir, "documents")))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
