@@ -101,7 +101,7 @@ def learn_language_model(docs: DataFrame, sample: int = SAMPLE, most: int = LANG
 def text_scores(text: str, table: np.ndarray) -> np.ndarray:
     """Tempered log likelihood of a text in each language."""
     grams = trigrams(text)
-    if not len(grams):
+    if not len(grams) or not len(table):
         return np.zeros(len(table))
     mean = table @ np.bincount(grams, minlength=BUCKETS).astype(np.float32) / len(grams)
     return (mean - mean.max()).astype(float) * min(len(grams), ENOUGH) * TEMPER
