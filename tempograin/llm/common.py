@@ -69,7 +69,7 @@ def heavy_light_join(left: DataFrame, right: DataFrame, key: str, weight: str, t
     unmatched.  ``left`` is read once.
     """
     values = [c for c in right.columns if c != key]
-    heavy = right.where(F.col(weight) * HEAVY > total).limit(HEAVY)
+    heavy = right.where(F.col(weight) * HEAVY > total)
     light = right.where(F.col(weight) * HEAVY <= total)
     for c in values:
         heavy, light = heavy.withColumnRenamed(c, f"_h_{c}"), light.withColumnRenamed(c, f"_l_{c}")
