@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 NANOS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000}
@@ -125,7 +125,11 @@ def epoch(ts: str | Column, unit: str = "us") -> Column:
     name = ts if isinstance(ts, str) else None
     if name is None:
         raise TypeError("give the column's name")
-    micros = F.expr(f"cast(cast(cast(`{name}` as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(24,6)) * 1000000").cast("long")
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        micros = F.unix_micros(F.col(f"`{name}`").cast("timestamp"))  # the same number in that zone, without decimals on the way
+    else:
+        micros = F.expr(f"cast(cast(cast(`{name}` as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(24,6)) * 1000000").cast("long")
     return micros if unit == "us" else micros * F.lit(1000) if unit == "ns" else floor_div(micros, NANOS[unit] // 1000)
 
 

@@ -12,20 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carried(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column], forward: bool = True, inclusive: bool = True) -> DataFrame:
-    """``df`` with, for each named expression, its last non-null value up to the row (``forward``) or its first from it on."""
+def carried(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Column, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with, for each named expression, its last non-null value up to the row (``before``) or its first from the row on (``after``).
+
+    ``order`` has no ties within a group.
+    """
+    before, after = before or {}, after or {}
+    values = before | after
     df = df.withColumn("_chunk", chunk)
     for name, x in values.items():
         df = df.withColumn(f"_x_{name}", x)
-    turn = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
-    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))) if forward else F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order)))
-    chunks = df.groupBy(*group, "_chunk").agg(*[last(f"_x_{n}").alias(f"_c_{n}") for n in values])
-    before = Window.partitionBy(*group).orderBy(turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(*group, "_chunk", *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
-    met = _join(df, chunks, group)
-    within = Window.partitionBy(*group, "_chunk").orderBy(*[turn(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    at = lambda n: F.when(F.col(f"_x_{n}").isNotNull(), F.struct(*order))
+    edge = lambda n: (F.max_by if n in before else F.min_by)(F.col(f"_x_{n}"), at(n)).alias(f"_c_{n}")
+    chunks = df.groupBy(*group, "_chunk").agg(*[edge(n) for n in values])
+    row = Window.partitionBy(*group).orderBy("_chunk")
+    outside = {n: F.last(f"_c_{n}", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1)) if n in before else F.first(f"_c_{n}", ignorenulls=True).over(row.rowsBetween(1, Window.unboundedFollowing)) for n in values}
+    met = _join(df, chunks.select(*group, "_chunk", *[x.alias(f"_c_{n}") for n, x in outside.items()]), group)
+    row = Window.partitionBy(*group, "_chunk").orderBy(*order)
     for n in values:
-        met = met.withColumn(n, F.coalesce(F.last(f"_x_{n}", ignorenulls=True).over(within), F.col(f"_c_{n}")))
+        here = F.last(f"_x_{n}", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)) if n in before else F.first(f"_x_{n}", ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
+        met = met.withColumn(n, F.coalesce(here, F.col(f"_c_{n}")))
     return met.drop("_chunk", *[f"_x_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 

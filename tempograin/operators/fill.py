@@ -54,8 +54,7 @@ def fill(buckets: DataFrame, w: Width | str, method: str | float = "null", colum
         new = {c: F.col(f"_p_{c}") for c in columns}
     elif method == "linear":
         pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("idx").alias("i"), F.col(c).cast("double").alias("v")))
-        met = carried(met, group, ["idx"], cut, {f"_p_{c}": pair(c) for c in columns})
-        met = carried(met, group, ["idx"], cut, {f"_q_{c}": pair(c) for c in columns}, forward=False)
+        met = carried(met, group, ["idx"], cut, {f"_p_{c}": pair(c) for c in columns}, {f"_q_{c}": pair(c) for c in columns})
         new = {c: _between(c) for c in columns}
     elif method in ("quadratic", "cubic"):
         from tempograin.operators.interpolate import interpolate_at

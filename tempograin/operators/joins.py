@@ -19,7 +19,8 @@ def asof_join(left: DataFrame, right: DataFrame, group: Sequence[str] = (), valu
     kept = F.struct(*[F.col(c) for c in left.columns])
     l = left.select(*group, "ts", F.lit(0 if forward else 1).alias("_side"), kept.alias("_left"), F.lit(None).cast(right.select(F.struct("ts", *values)).schema[0].dataType).alias("_right"))  # noqa: E741
     r = right.select(*group, "ts", F.lit(1 if forward else 0).alias("_side"), F.lit(None).cast(left.select(kept).schema[0].dataType).alias("_left"), F.struct("ts", *values).alias("_right"))
-    both = carried(l.unionByName(r), group, ["ts", "_side"], floor_div(F.col("ts"), chunk), {"_near": F.col("_right")}, forward=not forward)
+    near = {"_near": F.col("_right")}
+    both = carried(l.unionByName(r).withColumn("_row", F.monotonically_increasing_id()), group, ["ts", "_side", "_row"], floor_div(F.col("ts"), chunk), *(({}, near) if forward else (near, {})))
     near = F.col("_near")
     if tolerance is not None:
         near = F.when(F.abs(F.col("ts") - near["ts"]) <= tolerance, near)

@@ -5,6 +5,7 @@ Quoted strings and escapes need a small scanner, so lines are parsed in Arrow ba
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 
@@ -18,29 +19,28 @@ from tempograin.functions.tags import series_key
 RECORD = "line long, measurement string, tags map<string,string>, fields map<string,struct<kind:string,text:string>>, ts long, error string"
 
 
+#: A piece up to a separator: escapes and, where they count, quoted strings are passed over whole.
+_PIECES = {(at, q): re.compile(rf'((?:\\.|{string}[^\\{extra}{re.escape(at)}])*)({re.escape(at)}|\Z)', re.DOTALL) for at in ", =" for q, string, extra in ((False, "", ""), (True, r'"(?:\\.|[^"\\])*"|', '"'))}
+
+
 def _split(text: str, at: str, quotes: bool = False) -> list[str]:
     """Pieces between unescaped separators, which count as text within quotes."""
-    out, piece, i, quoted = [], [], 0, False
-    while i < len(text):
-        c = text[i]
-        if c == "\\" and i + 1 < len(text):
-            piece.append(text[i : i + 2])
-            i += 2
-            continue
-        if c == '"' and quotes:
-            quoted = not quoted
-        if c == at and not quoted:
-            out.append("".join(piece))
-            piece = []
-        else:
-            piece.append(c)
-        i += 1
-    if quoted:
-        raise ValueError("unterminated string")
-    return [*out, "".join(piece)]
+    if "\\" not in text and not (quotes and '"' in text):
+        return text.split(at)
+    out, i = [], 0
+    while True:
+        m = _PIECES[at, quotes].match(text, i)
+        if not m:
+            raise ValueError("unterminated string or escape")
+        out.append(m[1])
+        if not m[2]:
+            return out
+        i = m.end()
 
 
 def _plain(text: str, escaped: str = ",= \\") -> str:
+    if "\\" not in text:
+        return text
     out, i = [], 0
     while i < len(text):
         if text[i] == "\\" and i + 1 < len(text) and text[i + 1] in escaped:
