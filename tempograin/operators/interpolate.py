@@ -87,16 +87,19 @@ def grid_of(spans: DataFrame, step: int, group: Sequence[str] = (), most: int =
     return spans.where("start <= end").where(many).select(*group, F.explode(F.sequence("start", "end", F.lit(step).cast("long"))).alias("ts"))
 
 
-def interpolate(df: DataFrame, step: Width | str, method: str | int = "cubic", group: Sequence[str] = (), start: int | None = None, end: int | None = None, margin: int | None = None, bound: float | None = None, unit: str = "us", arrival: str = "seq") -> DataFrame:
+def interpolate(df: DataFrame, step: Width | str, method: str | int = "cubic", group: Sequence[str] = (), start: int | None = None, end: int | None = None, margin: int | None = None, bound: float | None = None, unit: str = "us", arrival: str = "seq", beyond: bool = True) -> DataFrame:
     """The reconstructed series: group, ts, value, kind on the grid from ``start`` to ``end`` (by default the first and last sample).
 
-    ``margin`` limits the knots to those within it of the range, as stored reads do.
+    ``margin`` limits the knots to those within it of the range, as stored reads do.  Without ``beyond`` the grid ends at a series' last sample.
     """
     ticks = width(step).ticks(unit)
     knots = knots_of(df, group, arrival)
     if margin is not None:
         knots = knots.where(F.col("ts").between((start if start is not None else -(1 << 62)) - margin, (end if end is not None else 1 << 62) + margin))
     spans = knots.groupBy(*group).agg((F.min("ts") if start is None else F.min(F.lit(start).cast("long"))).alias("start"), (F.max("ts") if end is None else F.min(F.lit(end).cast("long"))).alias("end"))
+    if not beyond:
+        spans = knots.groupBy(*group).agg(F.max("ts").alias("_last")).join(spans, list(group)) if group else spans.crossJoin(F.broadcast(knots.agg(F.max("ts").alias("_last"))))  # one row
+        spans = spans.withColumn("end", F.least("end", "_last")).drop("_last")
     return interpolate_at(knots, grid_of(spans, ticks, group), method, group, bound, chunk=ticks * CHUNK_STEPS)
 
 

@@ -92,6 +92,34 @@ class Learned:
             self.imports = self.new = 0
 
 
+#: Learned step counts: shapes looked at, share of a shape's range that resampling may cost, share of shapes that must keep to it, most steps.
+CALIBRATION, TOLERANCE, KEEP, MOST_STEPS = 64, 0.02, 0.9, 1024
+
+
+def even(shape: np.ndarray, steps: int) -> np.ndarray:
+    """A shape at evenly spaced places, linearly between its points."""
+    return np.interp(np.linspace(0, len(shape) - 1, steps), np.arange(len(shape)), shape)
+
+
+def steps_for(shapes: Sequence[np.ndarray], tolerance: float = TOLERANCE, keep: float = KEEP) -> int | None:
+    """The fewest steps at which the share ``keep`` of the shapes come back within ``tolerance`` of their range; None without shapes."""
+    shapes = [np.asarray(s, float) for s in shapes if len(s) >= 2]
+    if not shapes:
+        return None
+    longest = min(MOST_STEPS, max(map(len, shapes)))
+    for steps in range(2, longest):
+        loss = [np.abs(even(even(s, steps), len(s)) - s).max() / (np.ptp(s) or np.inf) for s in shapes]
+        if np.mean(np.array(loss) <= tolerance) > keep:
+            return steps
+    return longest
+
+
+def learned_steps(batches: DataFrame, y: str = "shape", sample: int = CALIBRATION) -> int | None:
+    """:func:`steps_for` the first ``sample`` shapes by begin: a dictionary's step count is settled by these and then stays."""
+    rows = batches.where(F.size(y) >= 2).orderBy("begin").limit(sample).select(y).collect()
+    return steps_for([r[0] for r in rows])
+
+
 def import_patterns(shapes: DataFrame, limits: dict[str, float] | None, group: Sequence[str] = (), y: str = "shape", most: int = 100_000) -> DataFrame:
     """Patterns of each group's dictionary: group, pattern, shape, occurrences (begin, end).
 

@@ -24,9 +24,7 @@ class Analysis:
 
     def run(self) -> Analysis:
         ticks, g = self.step.ticks(self.unit), self.group
-        made = interpolate(self.rows, self.step, self.method, g, unit=self.unit)
-        last = self.rows.groupBy(*g).agg(F.max("ts").alias("_last"))
-        self.series = written(made.join(last, list(g)).where("ts <= _last").select(*g, "ts", "value", "kind"), "series")
+        self.series = written(interpolate(self.rows, self.step, self.method, g, unit=self.unit, beyond=False), "series")
         batches = shapes.process(shapes.sliding(self.series, self.batch, g, self.unit))
         self.shapes = written(batches.withColumn("shape", shapes.resample(F.col("points"), self.steps)), "shapes")
         self.patterns = written(import_patterns(self.shapes, self.limits, g), "patterns")

@@ -298,6 +298,11 @@ def interpolate_polynomial(spark, sf):
     return reconstructed(spark, sf, 5, bound=0.5)
 
 
+@query(f"WITH {HR}, g AS (SELECT event_type, unnest(generate_series({BEGIN + 20 * DAY}, least({BEGIN + 40 * DAY}, (SELECT max(ts) FROM hr h WHERE h.event_type = e.event_type)), {HOUR // 2})) AS ts FROM (SELECT DISTINCT event_type FROM hr) e), {lagrange(2)}")
+def interpolate_within_data(spark, sf):
+    return reconstructed(spark, sf, "linear", start=BEGIN + 20 * DAY, end=BEGIN + 40 * DAY, beyond=False)
+
+
 @query(f"WITH {HR}, g AS (SELECT event_type, {BEGIN + 5 * DAY + 1_234_567} AS ts FROM (SELECT DISTINCT event_type FROM hr)), {lagrange(4, cubic=True)}")
 def interpolate_one_point(spark, sf):
     rows = hourly(spark, sf).withColumn("seq", F.lit(0))

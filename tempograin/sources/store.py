@@ -169,6 +169,34 @@ class Store:
         found = [self._get(f"commits/{aspect}/{n}") for n in self._list(f"commits/{aspect}") if int(n.removesuffix(".json")) > seal_seq]
         return self.spark.createDataFrame([(c["seal_seq"], c["min_ts"], c["max_ts"], c["rows"]) for c in found], "seal_seq long, min_ts long, max_ts long, rows long")
 
+    def ack_changes(self, aspect: str, through: int) -> None:
+        """Remember that changes up to a seal were worked on; never goes back."""
+        self._put(f"acked/{aspect}.json", {"seal_seq": max(through, self.acked(aspect))}, overwrite=True)
+
+    def acked(self, aspect: str) -> int:
+        return self._get(f"acked/{aspect}.json")["seal_seq"] if self._exists(f"acked/{aspect}.json") else -1
+
+    def pending_changes(self, aspect: str) -> DataFrame:
+        return self.changes_since(aspect, self.acked(aspect))
+
+    # Regions to compress again.
+    def mark_dirty(self, aspect: str, start: int, end: int) -> None:
+        self._put(f"dirty/{aspect}/{start}_{end}.json", {"start": start, "end": end}, overwrite=True)
+
+    def dirty(self, aspect: str) -> list[tuple[int, int]]:
+        """Marked regions, those that touch joined."""
+        found = sorted((r["start"], r["end"]) for r in (self._get(f"dirty/{aspect}/{n}") for n in self._list(f"dirty/{aspect}")))
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            if out and a <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(out[-1][1], b))
+            else:
+                out.append((a, b))
+        return out
+
+    def clear_dirty(self, aspect: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/dirty/{aspect}"), True)
+
     # Reads.
     def select(self, rows: DataFrame, tags: dict[str, str | None] | None, exact: bool = False) -> DataFrame:
         return rows if tags is None else rows.where(select_series(tags_of(F.col("series_key")), tags, exact))

@@ -122,3 +122,10 @@ def test_formats(spark, tmp_path):
     p = formats.read_columns(spark, f"file://{tmp_path}/power.csv", "Time", "P", sep=";", format="HH:mm:ss").collect()
     assert [r["value"] is None for r in p] == [False, True]
     assert formats.from_ipc(spark, formats.to_ipc(d)).count() == 2
+
+
+def test_learned_steps(spark):
+    ramp, saw = np.linspace(0, 1, 33), np.array([0.0, 1, 0, 1, 0])
+    assert similarity.steps_for([ramp] * 10) == 2 and similarity.steps_for([saw] * 10) == 5 and similarity.steps_for([]) is None
+    d = spark.createDataFrame([(i, ramp.tolist()) for i in range(5)], "begin long, shape array<double>")
+    assert similarity.learned_steps(d) == 2

@@ -60,6 +60,7 @@ def test_grid_is_anchored_at_start_and_margin_limits_knots(spark):
     assert got[97][0] == pytest.approx(194) and [t for t, v in got.items() if v[1] == "raw"] == [100]
     near = interpolate(d, "1s", "linear", start=95, end=105, margin=0, unit="s").where("ts = 95").first()
     assert near["kind"] == "extrapolated" and near["value"] == pytest.approx(200)
+    assert interpolate(d, "1s", "linear", start=195, end=300, unit="s", beyond=False).agg(F.max("ts")).first()[0] == 200
     assert [r["ts"] for r in interpolate(d, "7s", "linear", start=3, end=20, unit="s").orderBy("ts").collect()] == [3, 10, 17]
 
 

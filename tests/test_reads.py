@@ -86,6 +86,14 @@ def test_store(spark, tmp_path):
     read = lambda: [(r["ts"], r["value"] and float(r["value"])) for r in store.read("m").orderBy("ts").collect()]
     assert read() == [(1, 1.5), (2, 9.0), (3, None)]
     assert [r["rows"] for r in store.changes_since("m", 0).collect()] == [1]
+    store.ack_changes("m", 0)
+    store.ack_changes("m", -1)
+    assert [r["seal_seq"] for r in store.pending_changes("m").collect()] == [1]
+    for a, b in ((10, 20), (15, 30), (40, 50)):
+        store.mark_dirty("m", a, b)
+    assert store.dirty("m") == [(10, 30), (40, 50)]
+    store.clear_dirty("m")
+    assert store.dirty("m") == []
     for keep in (store.reconcile, store.merge_overlaps, store.squash):
         keep("m")
         assert read() == [(1, 1.5), (2, 9.0), (3, None)]
