@@ -31,10 +31,14 @@ def resolution(token: str) -> str | None:
 
 def div(a: Column, b: Column | int) -> Column:
     """Integer division toward zero."""
+    if isinstance(b, int) and b == 1:
+        return a
     return F.call_function("div", a, F.lit(b).cast("long") if isinstance(b, int) else b)
 
 
 def floor_div(a: Column, n: int) -> Column:
+    if n == 1:
+        return a
     return div(a - F.pmod(a, F.lit(n).cast("long")), n)
 
 

@@ -8,6 +8,7 @@ over the bucket, sorted with spilling, that share that same shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,14 @@ def in_range(df: DataFrame, start: int | None, end: int | None, ts: str = "ts")
     return df
 
 
+def arrival_key(ts: Column, arrival: Column) -> Column:
+    """One number that orders by instant and then by arrival (not negative).
+
+    A number can sit in a hash aggregation's buffer, where a struct would force a sort of all rows.
+    """
+    return (ts.cast("decimal(19,0)") * F.lit(Decimal(10**19)) + F.coalesce(arrival, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def _quotient(total: Column, count: Column) -> Column:
     return total.cast("double") / count.cast("double")
 
@@ -58,7 +67,7 @@ def downsample(df: DataFrame, w: Width | str, aggs: Sequence[str] = DEFAULT, gro
     sketched = [a for a in asked if a in SKETCHES]
     rows = in_range(df.where(F.col(value).isNotNull()), start, end, ts).withColumn("bucket", bucket(F.col(ts), w, unit))
     keys = [*group, "bucket"]
-    v, at = F.col(value), F.struct(F.col(ts), F.col(arrival))
+    v, at = F.col(value), arrival_key(F.col(ts), F.col(arrival)) if {"first", "last"} & set(asked) else None
     out = [F.count(F.lit(1)).alias("count")]
     part = Window.partitionBy(*keys)
     if any(a in TIME_WEIGHTED for a in asked):
@@ -80,8 +89,10 @@ def downsample(df: DataFrame, w: Width | str, aggs: Sequence[str] = DEFAULT, gro
             x = F.when(F.coalesce(span, F.lit(0)) == 0, mean).otherwise(total.cast("double") / (span.cast("double") * (2.0 if a == "twa_linear" else 1.0)))
         elif a in SKETCHES:
             continue
+        elif a in ("first", "last"):
+            x = F.min_by(v, at) if a == "first" else F.max_by(v, at)
         else:
-            x = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v), "avg": mean, "first": F.min_by(v, at), "last": F.max_by(v, at)}[a]
+            x = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v), "avg": mean}[a]
         out.append(x.alias(a))
     result = rows.groupBy(*keys).agg(*out)
     if sketched:
@@ -97,17 +108,23 @@ def _unknown(token: str) -> str:
 
 
 def partials(df: DataFrame, w: Width | str, group: Sequence[str] = (), start: int | None = None, end: int | None = None, unit: str = "us", arrival: str = "seq", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Mergeable state per bucket: count, sum, min, max, first and last with their instants.  The index is kept, so that it can be coarsened."""
+    """Mergeable state per bucket: count, sum, min, max, first and last with the keys that order them.  The index is kept, so that it can be coarsened."""
     rows = in_range(df.where(F.col(value).isNotNull()), start, end, ts).withColumn("idx", bucket_index(F.col(ts), w, unit))
-    at = F.struct(F.col(ts).alias("ts"), F.col(arrival).alias("arrival"), F.col(value).alias("value"))
-    return rows.groupBy(*group, "idx").agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    at = arrival_key(F.col(ts), F.col(arrival))
+    return rows.groupBy(*group, "idx").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.min(at).alias("first_key"), F.min_by(value, at).alias("first"), F.max(at).alias("last_key"), F.max_by(value, at).alias("last"),
+    )
 
 
 def merge(parts: DataFrame, group: Sequence[str] = (), index: Column | None = None) -> DataFrame:
     """Combine partial states that share a bucket, in any order; ``index`` may send several buckets to one."""
     kept = parts if index is None else parts.withColumn("idx", index)
     kind = parts.schema["sum"].dataType.simpleString()
-    return kept.groupBy(*group, "idx").agg(F.sum("count").alias("count"), F.sum("sum").cast(kind).alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return kept.groupBy(*group, "idx").agg(
+        F.sum("count").alias("count"), F.sum("sum").cast(kind).alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.min("first_key").alias("first_key"), F.min_by("first", "first_key").alias("first"), F.max("last_key").alias("last_key"), F.max_by("last", "last_key").alias("last"),
+    )
 
 
 def coarsen(parts: DataFrame, n: int, group: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +145,7 @@ def rebucket(parts: DataFrame, source: Width | str, target: Width | str, group:
 
 def finish(parts: DataFrame, w: Width | str, aggs: Sequence[str] = DEFAULT, group: Sequence[str] = (), unit: str = "us") -> DataFrame:
     """Partial states as the rows that :func:`downsample` gives; only streaming aggregations can come out."""
-    made = {"min": F.col("min"), "max": F.col("max"), "sum": F.col("sum"), "avg": _quotient(F.col("sum"), F.col("count")), "first": F.col("first_at.value"), "last": F.col("last_at.value")}
+    made = {"min": F.col("min"), "max": F.col("max"), "sum": F.col("sum"), "avg": _quotient(F.col("sum"), F.col("count")), "first": F.col("first"), "last": F.col("last")}
     asked = [a for a in (aggregation(t) or _unknown(t) for t in aggs) if a != "count"]
     if bad := [a for a in asked if a not in made]:
         raise ValueError(f"partials can't give {bad}")
