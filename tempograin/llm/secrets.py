@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a maximal run of key-like characters.  Its character class (digits, hexadecimal, letters and digits, base 64) sets the
+A candidate is a maximal run of key-like characters, and each part of one between separators, so that a name before a key does
+not change how the key is judged.  Its character class (digits, hexadecimal, letters and digits, base 64) sets the
 window and the entropy that a window must reach.  Counts are updated as the window slides: one character enters and
 one leaves, and with n log2 n tabulated each step costs a few additions.  Windows over the threshold merge into spans.  An
 allow-list suppresses candidates that are known to be harmless; it never suppresses what the fixed patterns find.
@@ -27,11 +28,12 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: By character class: window length and bits a character that a window must reach.
 CLASSES = {"digit": (24, 3.25), "hex": (24, 3.0), "alnum": (24, 3.9), "base64": (24, 4.0)}
 LEAST_RUN = 24
+PART = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST_RUN)
 #: Candidates that are no secrets: UUIDs, dates and versions, paths and slugs of plain words, alphabets, placeholders.
 ALLOW = re.compile(
     r"""(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}
     |[0-9]{1,4}(?:[-_.:/][0-9]{1,4})+
-    |(?:[A-Za-z]+|[0-9]+)(?:[-_/.=+](?:[A-Za-z]+|[0-9]+))*
+    |(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[-_/.=+](?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*
     |.*(?:abcdefgh|ABCDEFGH|0123456789|123456789|qwertyuiop|EXAMPLE|example|xxxxx|XXXXX).*
     )\Z""",
     re.VERBOSE,
@@ -92,6 +94,23 @@ def entropy_spans(s: str, classes: dict[str, tuple[int, float]] = CLASSES) -> li
     return spans
 
 
+def run_spans(s: str, allow: re.Pattern = ALLOW, classes: dict[str, tuple[int, float]] = CLASSES) -> list[tuple[int, int]]:
+    """Merged spans of a run and of its parts between separators, each by its own class; none in what is allowed."""
+    if allow.match(s):
+        return []
+    spans = entropy_spans(s, classes)
+    for m in PART.finditer(s):
+        if len(m[0]) < len(s) and not allow.match(m[0]):
+            spans += [(m.start() + a, m.start() + b) for a, b in entropy_spans(m[0], classes)]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def scan(text: str, allow: re.Pattern = ALLOW, classes: dict[str, tuple[int, float]] = CLASSES) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans in code points, sorted; the base kinds are 0, 1, 2 and entropy is 3."""
     data = text.encode("utf-8", "surrogatepass")
@@ -106,7 +125,7 @@ def scan(text: str, allow: re.Pattern = ALLOW, classes: dict[str, tuple[int, flo
     found += [((x := at(a)), 2, x + b - a) for a, b in runs(data, HEX_TABLE, HEX_LEAST)]
     for a, b in runs(data, RUN_TABLE, LEAST_RUN):
         s = data[a:b].decode("ascii")
-        if not allow.match(s) and (spans := entropy_spans(s, classes)):
+        if spans := run_spans(s, allow, classes):
             x = at(a)
             found += [(x + y, 3, x + z) for y, z in spans]
     return sorted(found)
