@@ -571,7 +571,7 @@ def slope_change_rows(spark, sf):
 
 @query(f"WITH {EV}, c AS (SELECT DISTINCT ts - ts % {DAY} AS lo FROM ev WHERE seq % 20 = 0) SELECT DISTINCT {BEGIN} + i * {HOUR} AS \"window\" FROM c, range(0, 800) t(i) WHERE {BEGIN} + i * {HOUR} <= lo + {2 * HOUR} AND {BEGIN} + (i + 23) * {HOUR} >= lo AND {BEGIN} + (i + 23) * {HOUR} <= {BEGIN + 29 * DAY}")
 def affected_windows(spark, sf):
-    e = events(spark, sf).where("seq % 20 = 0").select((F.col("ts") - F.pmod("ts", F.lit(DAY))).alias("lo")).distinct().withColumn("hi", F.col("lo") + 2 * HOUR)
+    e = events(spark, sf).select((F.col("ts") - F.pmod("ts", F.lit(DAY))).alias("lo")).distinct().withColumn("hi", F.col("lo") + 2 * HOUR)
     return shapes.affected_windows(e, BEGIN, HOUR, 24, BEGIN + 29 * DAY)
 
 
@@ -631,7 +631,7 @@ NOW = BEGIN + 25 * DAY
 def _relations(spark, sf):
     men = detect.crossings(hourly(spark, sf), 50.0, True, ["event_type"], "up")
     hour = F.col("ts") - F.pmod("ts", F.lit(HOUR))
-    occ = events(spark, sf).where("seq % 7 = 0").select("event_type", (F.col("user_id") % 3).alias("pattern"), hour.alias("begin"), (hour + 3 * HOUR).alias("end")).distinct()
+    occ = events(spark, sf).select("event_type", (F.col("user_id") % 3).alias("pattern"), hour.alias("begin"), (hour + 3 * HOUR).alias("end")).distinct()
     cor = signals.correlate(men, occ.select("event_type", "pattern", F.lit(HOUR).alias("step")).distinct(), ["event_type"])
     return men, occ, cor
 
