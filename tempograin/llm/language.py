@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tempograin.llm.common import Scratch, heavy_light_join, partitions
 
 BUCKETS = 1 << 14
-#: About so many documents, chosen by hash, teach the trigram model; at most so many languages are told apart.
-SAMPLE, LANGUAGES = 20_000, 64
+#: About so many documents, chosen by hash in equal numbers for each language but at least LEAST, teach the trigram model; more
+#: than LANGUAGES languages are refused, as the model holds 64 KB for each.
+SAMPLE, LEAST, LANGUAGES = 20_000, 200, 1_000
 #: Trigrams of one text depend on each other: beyond so many, further ones add nothing, and each counts this much.
 ENOUGH, TEMPER = 400, 0.5
 #: Pseudo-counts with which each level is drawn to the one above.
@@ -65,14 +66,21 @@ def address(url: str | None, known: set[str]) -> tuple[str, str, str, str | None
 
 
 def learn_language_model(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of trigram buckets, from about ``sample`` of ``docs`` (doc_id, lang, text)."""
+    """Languages and their log probabilities of trigram buckets, from about ``sample`` of ``docs`` (doc_id, lang, text).
+
+    Every language is kept and sampled by itself; one with few documents is taken whole.  More than ``most`` languages are an error.
+    """
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower("lang").alias("lang"), "text").where("lang is not null and text is not null")
-    counted = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    languages, total = sorted(r["lang"] for r in counted), sum(r["count"] for r in counted)
+    counted = d.groupBy("lang").count().limit(most + 1).collect()
+    if len(counted) > most:
+        raise ValueError(f"more than {most} languages")
+    languages = sorted(r["lang"] for r in counted)
     if not languages:
         return [], np.zeros((0, BUCKETS), np.float32)
-    part = max(1, min(1_000_000, round(1_000_000 * sample / total)))
-    d = d.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < part)).select("lang", "text")
+    quota = max(LEAST, sample // len(languages))
+    parts = [(r["lang"], max(1, min(1_000_000, round(1_000_000 * quota / r["count"])))) for r in counted]
+    parts = F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, part long"))
+    d = d.join(parts, "lang").where(F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1_000_000)) < F.col("part")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
