@@ -17,7 +17,7 @@ from tempograin.llm.decontaminate import WINDOW, benchmark_hits
 from tempograin.llm.exact_dedup import drop_exact_copies
 from tempograin.llm.mixing import mix
 from tempograin.llm.quality import learn, quality_scores
-from tempograin.llm.simhash import drop_near_copies
+from tempograin.llm.similar import drop_similar
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by SimHash the row with the smallest doc_id."""
-    return drop_near_copies(docs)
+    """Of each group of texts linked by five-word shingles with a Jaccard similarity of 0.8 or more the row with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
