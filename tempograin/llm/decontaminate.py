@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tempograin.llm.common import Scratch
 
@@ -258,8 +259,7 @@ def _scan(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
         if held:
             yield from shard(held)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {HIT_COLUMNS}")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(HIT_COLUMNS).fields]))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -20,10 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import Scratch, heavy_light_join, keep_once, own_columns, partitions
+from tempograin.llm.common import FILTER_BITS, Scratch, bloom_test, digests_of, heavy_light_join, own_columns, partitions, probes, shielded, without_copies
 
-#: Bits of a run's Bloom filter per entry, and probes.
-FILTER_BITS, PROBES = 10, 7
 #: Copies that are compared with one shipped text of the kept document.
 VERIFY_GROUP = 64
 #: Runs that a shard holds before they are merged.
@@ -33,24 +31,16 @@ SEGMENT = "shard int, digests binary, ids binary, rows binary, counts binary, fi
 ENTRY = "digest binary, best_id long, best_row long, n long"
 
 
-def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions (n x PROBES) of 32-byte digests."""
-    words = keys.view("<u8").reshape(-1, 4)
-    with np.errstate(over="ignore"):
-        steps = words[:, :1] + np.arange(PROBES, dtype=np.uint64) * (words[:, 1:2] | np.uint64(1))
-    return steps % np.uint64(bits)
-
-
 def bloom(keys: np.ndarray) -> bytes:
     bits = max(64, len(keys) * FILTER_BITS)
     field = np.zeros(bits, dtype=bool)
-    field[_probes(keys, bits).ravel()] = True
+    field[probes(keys, bits).ravel()] = True
     return np.uint32(bits).tobytes() + np.packbits(field).tobytes()
 
 
 def may_hold(filt: bytes, keys: np.ndarray) -> np.ndarray:
     bits = int(np.frombuffer(filt, "<u4", 1)[0])
-    field, at = np.frombuffer(filt, np.uint8, offset=4), _probes(keys, bits)
+    field, at = np.frombuffer(filt, np.uint8, offset=4), probes(keys, bits)
     return ((field[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
 
 
@@ -67,12 +57,6 @@ def _shards(digests: np.ndarray, shards: int) -> np.ndarray:
     return ((head >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _void(column: pa.Array) -> np.ndarray:
-    """Binary column of 32-byte values as an S32-like array that compares whole values."""
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype="V32").copy().view("S32") if raw else np.zeros(0, "S32")
-
-
 def flush_runs(shards: int, memtable_rows: int):
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         digests, ids, rows, counts = combine(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -90,7 +74,7 @@ def flush_runs(shards: int, memtable_rows: int):
         parts, held = [], 0
         for batch in batches:
             if batch.num_rows:
-                parts.append((_void(batch["digest"]), batch["ord"].to_numpy(zero_copy_only=False), batch["row"].to_numpy(zero_copy_only=False), np.ones(batch.num_rows, np.int64)))
+                parts.append((digests_of(batch["digest"]), batch["ord"].to_numpy(zero_copy_only=False), batch["row"].to_numpy(zero_copy_only=False), np.ones(batch.num_rows, np.int64)))
                 held += batch.num_rows
             if held >= memtable_rows:
                 yield from flush(parts)
@@ -185,7 +169,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Byte verification: texts of hits only, compared with the leading document's text.
     salts = F.ceil(F.col("n") / VERIFY_GROUP).cast("int")
-    probe = _only_hits(d.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"), F.unhex(short).alias("digest")), index)
+    probe = d.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"), F.unhex(short).alias("digest"))
+    probe = probe.where(bloom_test(index, "digest", index.count())(F.col("digest")))
     copies = heavy_light_join(probe, index.select("digest", "n", "best_ord"), "digest", "n", total, F.col("doc_id")).where("n is not null")
     copies = scratch.table(copies.withColumn("part", F.pmod(F.xxhash64("doc_id", "body"), salts).cast("int")), "copies")
     lead = copies.where(order == F.col("best_ord")).dropDuplicates(["digest"])
@@ -198,9 +183,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Some digests stand for several texts: their rows are grouped by the text itself.
     rows = scratch.table(copies.join(mixed, "digest", "left_semi").select("doc_id", "body", F.monotonically_increasing_id().alias("row")), "rows")
     best = rows.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("o"), "row")).alias("b"))
-    best = best.select("body", "n", F.col("b.o").alias("best_ord"), F.col("b.row").alias("best_row"))
-    again = heavy_light_join(rows, best, "body", "n", total, F.col("row")).withColumn("leads", F.col("row") == F.col("best_row"))
-    again = again.withColumn("text_sha256", F.sha2("body", 256))
+    # Texts that agree in both of two long digests are equal; only these move on, never the texts.
+    both = F.concat(F.sha2("body", 512), F.sha2("body", 256))
+    best = best.select(both.alias("both"), "n", F.col("b.o").alias("best_ord"), F.col("b.row").alias("best_row"))
+    again = heavy_light_join(rows.select("doc_id", "row", both.alias("both"), F.sha2("body", 256).alias("text_sha256")), best, "both", "n", total, F.col("row"))
+    again = again.withColumn("leads", F.col("row") == F.col("best_row"))
     return _answer(hits.join(mixed, "digest", "left_anti"), sign).unionByName(_answer(again, sign))
 
 
@@ -219,47 +206,13 @@ def _id_of(order: str, sign: int):
     return F.when(F.col(order) != F.lit(2**63 - 1), found)
 
 
-#: Bytes of the filter over the index's digests that every task holds; more digests only make it less selective.
-HIT_FILTER_BYTES = 4 << 20
-
-
-def _only_hits(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows whose digest may be in the index, by a Bloom filter of fixed size; false positives fail the join that follows."""
-    bits = HIT_FILTER_BYTES * 8
-
-    def fill(batches):
-        field = np.zeros(bits, bool)
-        for batch in batches:
-            keys = _void(batch["digest"])
-            if len(keys):
-                field[_probes(keys, bits).ravel()] = True
-        at = np.flatnonzero(field)
-        if len(at):
-            words, inv = np.unique(at >> 6, return_inverse=True)
-            values = np.zeros(len(words), np.uint64)
-            np.bitwise_or.at(values, inv, np.uint64(1) << (at & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(values.view(np.int64))], names=["word", "bits"])
-
-    spark = docs.sparkSession
-    words = index.select("digest").mapInArrow(fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    field = np.zeros(HIT_FILTER_BYTES // 8, np.uint64)
-    field[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(field.tobytes())
-
-    def probe(batches):
-        field = np.frombuffer(sent.value, np.uint64)
-        for batch in batches:
-            if batch.num_rows:
-                at = _probes(_void(batch["digest"]), bits)
-                yield batch.filter(pa.array(((field[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=1)))
-
-    return docs.mapInArrow(probe, docs.schema)
-
-
 def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops, with all their columns."""
-    found = exact_dedup(docs, keep=keep)
-    keepers = found.groupBy("text_sha256", "keep_id").agg(F.count(F.when(F.col("doc_id").eqNullSafe(F.col("keep_id")), 1)).alias("reps"))
-    keepers = Scratch(docs.sparkSession, "exact-keepers").table(keepers.select(F.col("keep_id").alias("doc_id"), F.col("text_sha256").alias("_sha"), "reps"), "keepers")
-    with_sha = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keep_once(with_sha, keepers, ["doc_id", "_sha"]).select(*docs.columns)
+    """``docs`` without the rows that :func:`exact_dedup` drops, with all their columns.
+
+    Null texts count as empty, null identifiers lose to any other, and of rows that repeat both text and identifier one stays.  Further columns
+    may have any names.
+    """
+    inner, restore = shielded(docs, "doc_id", "text")
+    found = exact_dedup(inner, keep=keep).where("group_size > 1").groupBy("doc_id", "text_sha256")
+    copies = found.agg(F.count(F.lit(1)).alias("reps"), F.max("kept").alias("stays")).withColumn("sha", F.unhex("text_sha256"))
+    return restore(without_copies(inner, copies, Scratch(docs.sparkSession, "exact-copies")))

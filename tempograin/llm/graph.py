@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import Scratch
+from tempograin.llm.common import Scratch, heavy_light_join
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -13,23 +15,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rounds of hooking and pointer jumping: every node takes the smallest label among its own and its neighbours', then
     the label of its label, until none changes.  Labels are written to the shared folder each round, so that a lost executor costs one
-    round at most.  Minima are combined before they are shuffled; a node with very many neighbours meets
-    only partial minima.  Rounds grow with the logarithm of the longest chain.
+    round at most.  Minima are combined before they are shuffled.  A hub's neighbours and a large component's members aren't
+    brought together: labels of both are broadcast, of which there are few.  Rounds grow with the logarithm of the longest chain.
     """
-    both = scratch.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels-0")
+    name = f"components-{uuid.uuid4().hex}"
+    both = scratch.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
+    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"), F.count(F.lit(1)).alias("degree")), f"{name}-labels-0")
+    nodes, links = (int(x or 0) for x in labels.agg(F.count("node"), F.sum("degree")).first())
     k = 0
     while True:
         k += 1
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        near = heavy_light_join(both, labels.withColumnRenamed("node", "b"), "b", "degree", links, F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        hooked = scratch.table(labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"), "degree"), f"{name}-hooked")
         # A label's own label: roots are nodes too.
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = hooked.join(jump, "root", "left").select("node", F.least("root", "next").alias("root"), "was")
-        new = scratch.table(new, f"labels-{k}")
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next")).join(hooked.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
+        new = heavy_light_join(hooked, jump, "root", "members", nodes, F.col("node")).select("node", F.least("root", "next").alias("root"), "degree", "was")
+        new = scratch.table(new, f"{name}-labels-{k}")
         changed = not new.where("root <> was").isEmpty()
-        scratch.drop(f"labels-{k - 1}")
-        labels = new.select("node", "root")
+        scratch.drop(f"{name}-labels-{k - 1}", f"{name}-hooked")
+        labels = new.select("node", "root", "degree")
         if not changed:
-            scratch.drop("edges")
-            return labels
+            scratch.drop(f"{name}-edges")
+            return labels.select("node", "root")

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tempograin.llm.common import own_columns
+from tempograin.llm.common import own_columns, quoted
 
 #: Most labelled rows that are fitted on, in the order of a hash of their doc_id.
 SAMPLE = 20_000
@@ -68,8 +69,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             rows = np.array([statistics(t.as_py()) for t in batch["text"]]).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=[*batch.schema.names, *(f"q_{s}" for s in STATS)])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"q_{s} double" for s in STATS])
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(f"q_{s}", DoubleType()) for s in STATS)]))
 
 
 #: A condition: statistic, whether it must exceed, threshold.
@@ -156,10 +156,11 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, round
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Rules:
-    """Rules from statistics and 0/1 labels; without both labels the constant share of 1 (0.5 without any)."""
+    """Rules from statistics and 0/1 labels; without both labels, or a rule that tells rows apart, the constant share of 1 (0.5 without any)."""
+    share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
+    constant = Rules(float(np.log(share / (1 - share))))
     if len(y) < 4 * LEAF or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-        return Rules(float(np.log(share / (1 - share))))
+        return constant
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for k in range(x.shape[1])]
     edges = [e[e < x[:, k].max()] for k, e in enumerate(edges)]
     binned = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], axis=1)
@@ -175,6 +176,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
         if (key := c.tobytes()) not in seen and LEAF <= c.sum() <= len(y) - LEAF:
             seen.add(key)
             rules.append(path)
+    if not rules:
+        return constant
     z = np.concatenate((np.ones((len(y), 1), np.float32), np.stack([holds(x, r) for r in rules], axis=1).astype(np.float32)), axis=1)
     check = np.arange(len(y)) % 5 == 0
     best, w = (np.inf, LASSO[0]), np.zeros(z.shape[1])
@@ -211,4 +214,4 @@ def quality_scores(docs: DataFrame, model: Rules) -> DataFrame:
     """
     docs = docs.drop("score", "predicted")
     out = with_statistics(docs).withColumn("score", model.column())
-    return out.select(*docs.columns, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(*[F.col(quoted(c)) for c in docs.columns], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import Scratch, heavy_light_join, keep_once, own_columns, partitions
+from tempograin.llm.common import Scratch, heavy_light_join, own_columns, partitions, sha_of, shielded, without_copies
 from tempograin.llm.graph import components
 
 BITS = 64
@@ -28,20 +28,25 @@ DIRECT = 16_384
 TILE = 1024
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of the text's word shingles as an unsigned 64-bit number; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text: A-Z lower-cased, split at ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; fewer words than a shingle, or none, make one."""
     flat = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = (ends - sizes + 1)[: len(words) - width + 1].tolist()
-        view, h = memoryview(flat), xxhash.xxh64_intdigest
-        hashes = np.array([h(view[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = (ends - sizes + 1)[: len(words) - width + 1].tolist()
+    view, h = memoryview(flat), xxhash.xxh64_intdigest
+    return np.array([h(view[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536]
@@ -49,6 +54,12 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of the text's word shingles as an unsigned 64-bit number; 0 without words."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, width)) if words else 0
+
+
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,21 +112,21 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(distance: int, direct: int):
-    """Rows (key, block, fp) sorted by key and block -> links; ``b`` is null for a fingerprint whose key has too many."""
+    """Rows (key, block, fp) sorted by key and block -> links; ``b`` is null for a fingerprint whose key has more than ``direct``."""
+
+    def crowd(fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts):
+        def done(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             fps = np.concatenate(parts)
             if len(fps) < 2 or (len(fps) == 2 and int(fps[0] ^ fps[1]).bit_count() > distance):
                 return
-            if len(fps) > direct:
-                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64())], names=["a", "b"])
-                return
             a, b = forest(fps, distance)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        parts, at = [], None
+        parts, held, at = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -124,11 +135,15 @@ def _links(distance: int, direct: int):
             cuts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1, [len(key)]))
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 here = (key[x], block[x])
-                if at is not None and here != at:
-                    yield from done(parts)
-                    parts = []
-                at = here
+                if here != at:
+                    if parts:
+                        yield from done(parts)
+                    parts, held, at = [], 0, here
+                held += y - x
                 parts.append(fps[x:y])
+                if held > direct:  # this key's later ones follow at once, so that no key fills the memory
+                    yield crowd(np.concatenate(parts))
+                    parts = []
         if parts:
             yield from done(parts)
 
@@ -147,6 +162,19 @@ def midpoint_links(fps: DataFrame, distance: int) -> DataFrame:
     return links if distance % 2 == 0 else links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
+def close_links(reps: DataFrame, count: int, distance: int, scratch: Scratch, direct: int = DIRECT) -> DataFrame:
+    """Links (a, b) that connect all of ``count`` distinct fingerprints ``fp`` within ``distance`` bits, an even number."""
+    spark, keys = reps.sparkSession, masks(distance, blocks_for(count, distance))
+    cut = F.array(*[F.struct(F.lit(i).cast("int").alias("key"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(keys)])
+    blocks = reps.select("fp", F.inline(cut)).repartition(max(partitions(spark), count * len(keys) // 1_000_000 + 1), "key", "block")
+    links = scratch.table(blocks.select("key", "block", "fp").sortWithinPartitions("key", "block").mapInArrow(_links(distance, direct), "a long, b long"), "links")
+    edges = links.where("b is not null").distinct()
+    crowd = links.where("b is null").select("a").distinct()
+    if not crowd.isEmpty():
+        edges = edges.unionByName(midpoint_links(scratch.table(crowd, "crowd"), distance))
+    return edges
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, direct: int = DIRECT, with_sha: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed 64-bit), root (least fingerprint of its group), component_id
     (smallest doc_id reachable by links), component_size; with ``with_sha`` also sha (SHA-256 of the text).
@@ -160,18 +188,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     d = own_columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) if with_sha else F.lit(None).cast("binary")
-    fps = scratch.table(d.withColumn("sha", sha).mapInArrow(_fingerprints(width), "doc_id long, sha binary, fp long"), "fingerprints")
+    fps = scratch.table(d.withColumn("sha", sha_of() if with_sha else F.lit(None).cast("binary")).mapInArrow(_fingerprints(width), "doc_id long, sha binary, fp long"), "fingerprints")
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
     total, count = (int(x or 0) for x in reps.agg(F.sum("n"), F.count("fp")).first())
-    keys = masks(distance, blocks_for(count, distance))
-    cut = F.array(*[F.struct(F.lit(i).cast("int").alias("key"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(keys)])
-    blocks = reps.select("fp", F.inline(cut)).repartition(max(partitions(spark), count * len(keys) // 1_000_000 + 1), "key", "block")
-    links = scratch.table(blocks.select("key", "block", "fp").sortWithinPartitions("key", "block").mapInArrow(_links(distance, direct), "a long, b long"), "links")
-    edges = links.where("b is not null").distinct()
-    crowd = links.where("b is null").select("a").distinct()
-    if not crowd.isEmpty():
-        edges = edges.unionByName(midpoint_links(scratch.table(crowd, "crowd"), distance))
+    edges = close_links(reps, count, distance, scratch, direct)
     roots = components(edges, scratch)
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
     named = scratch.table(named, "named")
@@ -187,11 +207,20 @@ def hex_fingerprint(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def one_of_each(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``rows`` (doc_id, sha, root; one row per row of ``docs``): the smallest doc_id (null last), then sha."""
+    rows = scratch.table(rows.groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("reps")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("members"), F.sum("reps").alias("reps")).where("reps > 1")
+    met = heavy_light_join(rows.withColumn("own", order), best.select("root", "best", "members"), "root", "members", rows.count(), F.col("sha")).where("members is not null")
+    return without_copies(docs, met.select("doc_id", "sha", "reps", F.col("own").eqNullSafe(F.col("best")).alias("stays")), scratch)
+
+
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each group of linked texts, that with the smallest doc_id (null last), with all their columns."""
-    found = simhash_components(docs, with_sha=True, **how)
-    rows = found.groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("reps"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "reps")).alias("b"))
-    keepers = Scratch(docs.sparkSession, "simhash-keepers").table(best.select("b.doc_id", F.col("b.sha").alias("_sha"), "b.reps"), "keepers")
-    with_sha = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keep_once(with_sha, keepers, ["doc_id", "_sha"]).select(*docs.columns)
+    """``docs`` with one row of each group of linked fingerprints, that with the smallest doc_id (null last), with all their columns.
+
+    Null texts count as empty; of rows that repeat both text and identifier one stays.  Further columns may have any names.
+    """
+    inner, restore = shielded(docs, "doc_id", "text")
+    found = simhash_components(inner, with_sha=True, **how)
+    return restore(one_of_each(found.select("doc_id", "sha", "root"), inner, Scratch(docs.sparkSession, "simhash-copies")))

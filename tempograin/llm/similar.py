@@ -1,8 +1,14 @@
-"""Near-dedup by exact shingle similarity: a prefix-filtered self-join, then verified pairs.
+"""Near copies by shingle similarity: SimHash blocks and set prefixes retrieve pairs, whole sets verify them.
 
-Two shingle sets whose Jaccard similarity reaches the threshold t share at least ceil(t |x|) members of either.  In any one order
-of all shingles they therefore meet in the first |x| - ceil(t |x|) + 1 of each, so joining only those prefixes misses no pair.  The order
+Fingerprints as :mod:`tempograin.llm.simhash` makes them, of five-word shingles, meet by pigeonhole blocks; what is within 4 bits is a candidate.  At a
+Jaccard similarity of 0.8 two fingerprints differ in about ten of 64 bits, which no choice of blocks can retrieve at an affordable cost,
+so prefixes of the shingle sets complete the search.  Order all shingles in any one way and let o be what similar sets must share:
+sets x and y with |x| >= |y| share at least ceil(t |x|) and at least ceil(2t / (1 + t) |y|) members, so the first |x| - ceil(t |x|) + 1 of x meet the
+first |y| - ceil(2t / (1 + t) |y|) + 1 of y.  Joining those, the *probes* of the larger with the *posts* of the smaller, misses no pair.  The order
 puts what a sample holds often last, which keeps joins small and never changes what is found.
+
+Only pairs of one key that has a post are ever formed, and only where earlier links don't connect them yet: first every text under a key with three
+others of it, which links a large group of copies in linear time, then what is left.
 """
 
 from __future__ import annotations
@@ -12,31 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import Scratch, keep_once, own_columns
+from tempograin.llm.common import Scratch, bloom_test, heavy_light_join, lookup, own_columns, sha_of, shielded
 from tempograin.llm.graph import components
+from tempograin.llm.simhash import close_links, majority, one_of_each, shingle_hashes, words_of
 
 #: Words of a shingle, and the similarity from which texts are near copies, as a fraction of whole numbers.
 WIDTH, SHARE = 5, (4, 5)
-SEED = 42
+#: Bits within which fingerprints make a candidate.
+DISTANCE = 4
 #: Bits of a set's sketch, which lets most pairs go before whole sets are compared.
 BITS = 2048
 #: About so many documents say which shingles are frequent; at most so many shingles are put last.
 SAMPLE, FREQUENT = 20_000, 1_000_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; fewer words than a shingle, or none, make one shingle."""
-    h = xxhash.xxh64_intdigest
-    hashes = (h(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1)))
-    return np.unique(np.fromiter(hashes, np.uint64))
+#: Pairs of one text that are verified with one shipped copy of its set.
+VERIFY_GROUP = 256
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -44,14 +42,14 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1)
 
 
-def prefix(hashes: np.ndarray, often: np.ndarray, counts: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
-    """The members that a similar set must share one of: the first by sampled count, then hash."""
+def prefix(hashes: np.ndarray, often: np.ndarray, counts: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, int]:
+    """The probes of a set, by sampled count and then hash, and how many of them, the first, are its posts."""
     p, q = share
     n = len(hashes)
     if len(often):
         at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
         hashes = hashes[np.lexsort((hashes, np.where(often[at] == hashes, counts[at], 0)))]
-    return hashes[: n + (-n * p // q) + 1]
+    return hashes[: n + (-n * p // q) + 1], n + (-2 * n * p // (p + q)) + 1
 
 
 def _frequent(d: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +58,7 @@ def _frequent(d: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch["text"]:
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words_of(text.as_py()), width).view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(text.as_py()), width)).view(np.int64))], names=["h"])
 
     part = max(1, round(1_000_000 * SAMPLE / max(1, d.count())))
     some = d.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part).select("text")
@@ -70,106 +68,143 @@ def _frequent(d: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rows["count"].to_numpy()[order]
 
 
-def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, sha (SHA-256 of the text), root, equal for all that links reach.
 
     Links are all pairs of texts whose word shingles have a Jaccard similarity of ``share`` (numerator, denominator) or more.  Texts lower-case A-Z
     and split at ASCII white space; null counts as empty, and texts without words are alike.  Texts are told apart by 64 bits
-    of the SHA-256 of their words.  No rows give no rows; further columns are ignored.
+    of the SHA-256 of their words, shingles by 64-bit hashes.  Rows may repeat and keep null identifiers; no rows give no rows; further columns are ignored.
     """
     spark, (p, q) = docs.sparkSession, share
     scratch = Scratch(spark, "similar")
-    d = own_columns(docs, "doc_id", "text").withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", sha_of().alias("sha"))
     often = spark.sparkContext.broadcast(_frequent(d, width))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, bits = [], [], [], []
+            nodes, sizes, posts, fps, keys, bits = [], [], [], [], [], []
             for text in batch["text"]:
                 words = words_of(text.as_py())
-                hashes = shingle_set(words, width)
+                whole = shingle_hashes(words, width)
+                hashes = np.unique(whole)
+                probes, n = prefix(hashes, *often.value, share)
                 nodes.append(int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:8], "little", signed=True))
                 sizes.append(len(hashes))
+                posts.append(n)
+                fps.append(majority(whole) if words else 0)
                 bits.append(sketch(hashes).tobytes())
-                keys.append(prefix(hashes, *often.value, share).view(np.int64))
+                keys.append(probes.view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "sha", "node", "size", "bits", "keys"])
+            longs = [pa.array(x, pa.int64()) for x in (nodes, sizes, posts)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], *longs, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), lists], names=["doc_id", "sha", "node", "size", "posts", "fp", "bits", "keys"])
+
+    cuts = scratch.table(d.mapInArrow(cut, "doc_id long, sha binary, node long, size long, posts long, fp long, bits binary, keys array<long>"), "cuts")
+    pair = lambda a, b: [F.col(a).alias("a"), F.col(b).alias("b")]
+
+    # Fingerprints that are equal or close: each text with the least of its fingerprint, and those with each other.
+    held = cuts.groupBy("fp").agg(F.min("node").alias("lead"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))
+    held = scratch.table(held, "fingerprints")
+    rows, count = (int(x or 0) for x in held.agg(F.sum("n"), F.count("n")).first())
+    alike = heavy_light_join(cuts.select("fp", "node"), held.where("lead <> most"), "fp", "n", rows, F.col("node")).where("node <> lead").select(pair("lead", "node"))
+    close = scratch.table(close_links(held.select("fp"), count, distance, scratch), "close")
+    lead = held.select(F.col("fp").alias("b"), F.col("lead").alias("lead_b"))
+    close = lookup(close, lead, "b", F.col("a")).join(held.select(F.col("fp").alias("a"), F.col("lead").alias("lead_a")), "a").select(pair("lead_a", "lead_b"))
+
+    # Keys that several texts have, and the rows of those.
+    every = cuts.select("node", "size", "posts", F.posexplode("keys").alias("at", "key"))
+    shared = scratch.table(every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "shared")
+    some = every.where(bloom_test(shared, "key", shared.count())(F.col("key"))).select("key", "node", "size", (F.col("at") < F.col("posts")).alias("post"))
+    some = scratch.table(some.distinct(), "some")
+    any_of = F.min_by("node", F.xxhash64("node", "key")).alias("other")
+    ends = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), any_of, F.count(F.lit(1)).alias("n"), F.max("post").alias("posted")).where("posted and low <> high")
+    ends = scratch.table(ends.drop("posted"), "ends")
+    some = scratch.table(heavy_light_join(some, ends, "key", "n", some.count(), F.col("node")).where("n is not null").drop("n"), "members")
+    stars = some.select("node", F.explode(F.array("low", "high", "other")).alias("star")).where("node <> star").select(pair("star", "node"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among candidate pairs (a, b), each in one order."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = dealt(scratch.table(pairs, f"{name}-pairs"), f"{name}-tried")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        bits = cuts.select("node", "size", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        bits = scratch.table(bits, f"{name}-bits")
+        near = F.least("size_a", "size_b") * q >= F.greatest("size_a", "size_b") * p
+        pairs = scratch.table(with_both(pairs, bits).where(near).mapInArrow(hopeful, "a long, b long"), f"{name}-hopeful")
+        scratch.drop(*[f"{name}-{x}" for x in ("bits", "tried-a", "tried-b")])
+        nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+        where = cuts.select("node", "sha").join(nodes, "node", "left_semi").groupBy("node", "sha").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct("sha", "n")).alias("x"))
+        where = scratch.table(where.select("node", "x.sha", "x.n"), f"{name}-where")
+        texts = d.where(bloom_test(where, "sha", where.count())(F.col("sha"))).select("sha", "text")
+        texts = heavy_light_join(texts, where, "sha", "n", max(1, rows), F.xxhash64("text")).where("node is not null").dropDuplicates(["node"])
+        held = scratch.table(texts.select("node", "text").mapInArrow(sets, "node long, held binary"), f"{name}-held")
+        pairs = dealt(pairs, f"{name}-dealt")
+        links = scratch.table(with_both(pairs, held).mapInArrow(verify, "a long, b long"), name)
+        scratch.drop(*[f"{name}-{x}" for x in ("held", "where", "nodes", "hopeful", "dealt-a", "dealt-b")])
+        return links
+
+    def dealt(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs with part_a and part_b, so that a text with very many pairs has several copies of what is joined to it."""
+        for x, y in ("ab", "ba"):
+            n = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")).where(f"n > {VERIFY_GROUP}")
+            parts = F.ceil(F.coalesce("n", F.lit(1)) / VERIFY_GROUP)
+            pairs = heavy_light_join(pairs, n, x, "n", max(1, pairs.count()), F.col(y)).withColumn(f"part_{x}", F.pmod(F.xxhash64(y), parts).cast("long")).withColumn(f"parts_{x}", parts.cast("long")).drop("n")
+            pairs = scratch.table(pairs, f"{name}-{x}")
+        return pairs
+
+    def with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        for x in "ab":
+            copies = pairs.where(f"parts_{x} > 1").groupBy(F.col(x).alias("node")).agg(F.max(f"parts_{x}").alias("parts"))
+            own = held.join(copies, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            own = own.select(*[F.col(c).alias({"node": x, "part": f"part_{x}"}.get(c, f"{c}_{x}")) for c in own.columns])
+            pairs = pairs.join(own, [x, f"part_{x}"])
+        return pairs
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             # Sets of m members together that reach p / q differ in at most m (q - p) / (q + p) of them.
-            good = apart * (q + p) <= batch["m"].to_numpy() * (q - p)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def sets(wanted):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(x, t) for x, t in zip(batch["sha"].to_pylist(), batch["text"], strict=True) if wanted.value[int.from_bytes(x[:3], "big")]]
-                held = [shingle_set(words_of(t.as_py()), width).tobytes() for _, t in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array(held, pa.binary())], names=["sha", "held"])
+            m = batch["size_a"].to_numpy() + batch["size_b"].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(apart * (q + p) <= m * (q - p), pa.bool_()))
 
-        return run
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingle_hashes(words_of(t.as_py()), width)).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(held, pa.binary())], names=["node", "held"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(batch["held_a"], batch["held_b"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int((y[at] == x).sum())
                 good.append(q * both >= p * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    cuts = scratch.table(d.select(F.col("doc_id").cast("long").alias("doc_id"), "sha", "text").mapInArrow(cut, "doc_id long, sha binary, node long, size long, bits binary, keys array<long>"), "cuts")
-    w = Window.partitionBy("key")
-    ends = {"low": F.min(F.struct("node", "size")).over(w), "high": F.max(F.struct("node", "size")).over(w)}
-    keyed = cuts.select("node", "size", F.explode("keys").alias("key")).withColumns(ends)
-    shared = scratch.table(keyed.where("low.node <> high.node").distinct(), "shared")
-
-    def verified(met: DataFrame, name: str) -> DataFrame:
-        """The links among rows (a, b, size_a, size_b), one for each prefix key that both have."""
-        rest = F.expr(f"(greatest(size_a, size_b) * {p} + {q - 1}) div {q} - 1")  # what may be shared beyond the prefixes
-        pairs = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") + rest) * (p + q) >= (F.col("size_a") + F.col("size_b")) * p)
-        pairs = scratch.table(pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("m")), f"{name}-pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        bits = scratch.table(cuts.select("node", F.col("bits").alias("held")).join(nodes, "node").dropDuplicates(["node"]), f"{name}-bits")
-        pairs = scratch.table(with_both(pairs, bits).mapInArrow(hopeful, "a long, b long"), f"{name}-hopeful")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        where = scratch.table(cuts.select("node", "sha").join(nodes, "node").groupBy("node").agg(F.min("sha").alias("sha")), f"{name}-where")
-        # One byte for each start of a SHA-256 lets most texts go before any is shuffled.
-        flags = np.zeros(1 << 24, np.uint8)
-        flags[[int.from_bytes(x, "big") for x in where.select(F.substring("sha", 1, 3).alias("x")).distinct().toArrow()["x"].to_pylist()]] = 1
-        held = d.select("sha", "text").mapInArrow(sets(spark.sparkContext.broadcast(flags.tobytes())), "sha binary, held binary")
-        held = scratch.table(held.join(where, "sha").dropDuplicates(["node"]).select("node", "held"), f"{name}-held")
-        return scratch.table(with_both(pairs, held).mapInArrow(verify, "a long, b long"), name)
-
-    def with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        x, y = (held.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b")
-
-    # First every text under a key with the key's least and greatest, which links most of a large group in linear time; then
-    # all pairs under a key that are not linked yet.
-    pair = lambda a, b: [F.col(f"{a}node").alias("a"), F.col(f"{b}node").alias("b"), F.col(f"{a}size").alias("size_a"), F.col(f"{b}size").alias("size_b")]
-    stars = shared.where("node <> low.node").select(pair("low.", "")).unionByName(shared.where("node <> low.node and node <> high.node").select(pair("", "high.")))
-    links = verified(stars, "stars")
-    roots = components(links, Scratch(spark, "similar-stars"))
-    named = shared.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.withColumns({"least": F.min("root").over(w), "most": F.max("root").over(w)}).where("least <> most")
-    named = scratch.table(named.drop("least", "most"), "mixed")
-    left, right = (named.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "root")]) for n in "ab")
-    near = F.least("size_a", "size_b") * q >= F.greatest("size_a", "size_b") * p
-    rest = left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    found = verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b"), "rest")
-    roots = components(links.unionByName(found), scratch)
-    return cuts.select("doc_id", "sha", "node").join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
-
-
-def drop_similar(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``docs`` with one row of each group of linked texts, that with the smallest doc_id (null last), with all their columns."""
-    rows = similar_roots(docs, width, share).groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("reps"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "reps")).alias("b"))
-    keepers = Scratch(docs.sparkSession, "similar-keepers").table(best.select("b.doc_id", F.col("b.sha").alias("_sha"), "b.reps"), "keepers")
-    with_sha = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keep_once(with_sha, keepers, ["doc_id", "_sha"]).select(*docs.columns)
+    links = verified(alike.unionByName(close).unionByName(stars), "first")
+    roots = components(links, scratch)
+    named = lookup(some.select("key", "node", "size", "post"), roots, "node", F.col("key")).withColumn("root", F.coalesce("root", "node"))
+    named = scratch.table(named, "named")
+    left = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"), F.max("post").alias("posted")).where("posted and least <> most")
+    named = scratch.table(heavy_light_join(named, left.select("key", "n"), "key", "n", named.count(), F.col("node")).where("n is not null").drop("n"), "mixed")
+    small, large = (named.select("key", "post", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "root")]) for n in "ab")
+    near = (F.col("size_a") * q >= F.col("size_b") * p) & ((F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+    rest = small.where("post").drop("post").join(large.drop("post"), "key").where(near & (F.col("root_a") != F.col("root_b")))
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    more = verified(rest.join(spark.read.schema("a long, b long").parquet(f"{scratch.path}/first-pairs"), ["a", "b"], "left_anti"), "rest")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), scratch)
+    out = lookup(cuts.select("doc_id", "sha", "node"), roots, "node", F.col("sha"))
+    return out.select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
+
+
+def drop_similar(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of linked texts, that with the smallest doc_id (null last), with all their columns.
+
+    Null texts count as empty; of rows that repeat both text and identifier one stays.  Further columns may have any names.
+    """
+    inner, restore = shielded(docs, "doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "similar-copies")
+    return restore(one_of_each(similar_roots(inner, width, share, distance), inner, scratch))
