@@ -41,7 +41,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by five-word shingles with a Jaccard similarity of 0.8 or more the row with the smallest doc_id.
 
-    Operator 9's fingerprints and blocks retrieve, prefixes of shingle sets add what they can't, whole sets verify.  Null counts as an empty
+    Operator 9's fingerprints and blocks retrieve, MinHash bands add what they can't, whole texts verify.  Null counts as an empty
     text, texts without words are alike, a null doc_id comes last, and of rows that repeat both doc_id and text one stays.
     """
     return drop_similar(docs)
