@@ -35,7 +35,7 @@ BITS = 2048
 #: Members of a bucket that one task compares with each other; a larger bucket is compared block by block.
 BLOCK = 4096
 #: Rounds in which a bucket sends a forest; one that still has failing links then sends all that are left.
-FORESTS = 4
+FORESTS = 2
 #: Links of one text that are verified with one shipped copy of it.
 VERIFY_GROUP = 256
 
@@ -95,51 +95,55 @@ class Bucket:
         self.classes = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
         self.bits = {w: np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w) for w, at in self.classes.items()}
 
-    def hopeful(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members that nothing connects and that may be similar, some at a time."""
+    def hopeful(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of members that nothing connects and that may be similar, and by which share of theirs they differ at least; some at a time."""
         p, q = self.share
         for w, at in self.classes.items():
             others, bits = at, self.bits[w]
             if 2 * w in self.classes:
                 others, bits = np.concatenate((at, self.classes[2 * w])), np.concatenate((bits, folded(self.bits[2 * w], w)))
-            step = max(1, (1 << 20) // (w * 64))
-            for i in range(0, len(at), step):
-                mine = at[i : i + step]
-                for j in range(i, len(others), 1024):
+            few = max(1, 2048 // min(w, 64))
+            for i in range(0, len(at), 512):
+                mine = at[i : i + 512]
+                for j in range(i // 1024 * 1024, len(others), 1024):
                     yours = others[j : j + 1024]
                     apart = self.label[mine][:, None] != self.label[yours]
                     if not apart.any():
                         continue
                     m = self.sizes[mine][:, None] + self.sizes[yours]
                     differ = np.zeros(apart.shape, np.int64)
-                    for k in range(0, w, 64):
-                        differ += np.bitwise_count(self.bits[w][i : i + step, None, k : k + 64] ^ bits[None, j : j + 1024, k : k + 64]).sum(axis=2, dtype=np.int64)
+                    for r in range(0, len(mine), few):
+                        for k in range(0, w, 64):
+                            differ[r : r + few] += np.bitwise_count(self.bits[w][i + r : min(i + r + few, i + 512), None, k : k + 64] ^ bits[None, j : j + 1024, k : k + 64]).sum(axis=2, dtype=np.int64)
                     least, most = np.minimum(self.sizes[mine][:, None], self.sizes[yours]), np.maximum(self.sizes[mine][:, None], self.sizes[yours])
                     x, y = np.nonzero(apart & (differ * (q + p) <= m * (q - p)) & (least * q >= most * p))
+                    far = differ[x, y] / m[x, y]
                     x, y = mine[x], yours[y]
                     keep = x != y
                     if len(self.refuted):
                         keep &= ~np.isin(x * len(self.nodes) + y, self.refuted)
-                    yield x[keep], y[keep]
+                    yield x[keep], y[keep], far[keep]
 
     def forest(self) -> list[tuple[int, int]]:
-        """Links that connect whatever is hopeful; fewer than there are members."""
+        """Links that connect whatever is hopeful, the likeliest of each block of members first; fewer than there are members."""
         out: list[tuple[int, int]] = []
-        for x, y in self.hopeful():
+        for x, y, far in self.hopeful():
+            order = np.argsort(far, kind="stable")
+            x, y = x[order], y[order]
             while True:
                 a, b = self.label[x], self.label[y]
                 apart = a != b
                 if not apart.any():
                     break
                 x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-                parent = {}
+                parent: dict[int, int] = {}
 
                 def find(k: int) -> int:
                     while k in parent:
                         k = parent[k]
                     return k
 
-                for k in np.unique(a, return_index=True)[1].tolist():  # one link of each label
+                for k in np.unique(a, return_index=True)[1].tolist():  # the first link of each label
                     r, s = find(int(a[k])), find(int(b[k]))
                     if r != s:
                         parent[max(r, s)] = min(r, s)
@@ -151,7 +155,7 @@ class Bucket:
         return out
 
     def every(self) -> list[tuple[int, int]]:
-        return [(int(a), int(b)) for x, y in self.hopeful() for a, b in zip(self.nodes[x], self.nodes[y], strict=True)]
+        return [(int(a), int(b)) for x, y, _ in self.hopeful() for a, b in zip(self.nodes[x], self.nodes[y], strict=True)]
 
 
 MEMBER = "key long, i long, j long, node long, size long, root long, bits binary, other long"
