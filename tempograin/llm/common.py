@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,34 +9,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempograin.plans.scratch import fresh
+
 #: Keys with more than ``total / HEAVY`` rows are heavy; there can be at most HEAVY of them.
 HEAVY = 4096
 #: Rows of a heavy key are dealt to this many salts where they still have to move.
 SALTS = 1024
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the warehouse.
-
-    Only a local master without the setting gets a temporary folder, removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    own = tempfile.mkdtemp(prefix="tempograin-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees one that is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = fresh(spark, name)
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` once and read it back: later plans start from the files."""

@@ -142,16 +142,16 @@ def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(shard)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256, memtable_rows: int = 1 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256, memtable_rows: int = 1 << 20, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts (null counts as empty; nothing is normalised) form a group of ``group_size`` rows, of which the row with the
     ``smallest`` or ``largest`` identifier stays.  A null identifier loses to any other; if a whole group has none, keep_id is null.
     Of rows that repeat both text and identifier exactly one is kept.  No rows give no rows; further columns are ignored.
-    ``digest_bits`` under 256 shortens the index's digests; byte verification keeps the result exact.
+    ``digest_bits`` under 256 shortens the index's digests; byte verification keeps the result exact.  ``scratch`` holds the index until the caller drops it.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
+    scratch = scratch or Scratch(spark, "exact-dedup")
     sign = {"smallest": 1, "largest": -1}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(text, 256)
@@ -213,6 +213,9 @@ def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     may have any names.
     """
     inner, restore = shielded(docs, "doc_id", "text")
-    found = exact_dedup(inner, keep=keep).where("group_size > 1").groupBy("doc_id", "text_sha256")
+    index = Scratch(docs.sparkSession, "exact-dedup")
+    found = exact_dedup(inner, keep=keep, scratch=index).where("group_size > 1").groupBy("doc_id", "text_sha256")
     copies = found.agg(F.count(F.lit(1)).alias("reps"), F.max("kept").alias("stays")).withColumn("sha", F.unhex("text_sha256"))
-    return restore(without_copies(inner, copies, Scratch(docs.sparkSession, "exact-copies")))
+    left = restore(without_copies(inner, copies, Scratch(docs.sparkSession, "exact-copies")))
+    index.drop()  # what goes is written by now
+    return left

@@ -175,7 +175,7 @@ def close_links(reps: DataFrame, count: int, distance: int, scratch: Scratch, di
     return edges
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, direct: int = DIRECT, with_sha: bool = False) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, direct: int = DIRECT, with_sha: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed 64-bit), root (least fingerprint of its group), component_id
     (smallest doc_id reachable by links), component_size; with ``with_sha`` also sha (SHA-256 of the text).
 
@@ -186,7 +186,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if distance % 2:
         raise ValueError("distance must be even")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = scratch or Scratch(spark, "simhash")
     d = own_columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fps = scratch.table(d.withColumn("sha", sha_of() if with_sha else F.lit(None).cast("binary")).mapInArrow(_fingerprints(width), "doc_id long, sha binary, fp long"), "fingerprints")
     reps = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
@@ -199,6 +199,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     answer = heavy_light_join(named, many, "root", "m", count, F.col("fp"))
     answer = answer.select("fp", "n", "root", F.when(F.col("m").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_size", "n").alias("component_size"))
     answer = scratch.table(answer, "answer")
+    scratch.drop("distinct", "links", "named")
     out = heavy_light_join(fps, answer, "fp", "n", total, F.col("doc_id"))
     return out.select("doc_id", "fp", "root", "component_id", "component_size", *["sha"] * with_sha)
 
@@ -222,5 +223,8 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     Null texts count as empty; of rows that repeat both text and identifier one stays.  Further columns may have any names.
     """
     inner, restore = shielded(docs, "doc_id", "text")
-    found = simhash_components(inner, with_sha=True, **how)
-    return restore(one_of_each(found.select("doc_id", "sha", "root"), inner, Scratch(docs.sparkSession, "simhash-copies")))
+    work = Scratch(docs.sparkSession, "simhash")
+    found = simhash_components(inner, with_sha=True, scratch=work, **how)
+    left = restore(one_of_each(found.select("doc_id", "sha", "root"), inner, Scratch(docs.sparkSession, "simhash-copies")))
+    work.drop()  # what goes is written by now
+    return left

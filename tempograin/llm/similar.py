@@ -35,7 +35,7 @@ BITS = 2048
 #: Members of a bucket that one task compares with each other; a larger bucket is compared block by block.
 BLOCK = 4096
 #: Rounds in which a bucket sends a forest; one that still has failing links then sends all that are left.
-FORESTS = 2
+FORESTS = 1
 #: Links of one text that are verified with one shipped copy of it.
 VERIFY_GROUP = 256
 
@@ -200,7 +200,7 @@ def _compare(share: tuple[int, int], whole: bool):
     return run
 
 
-def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, distance: int = DISTANCE, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, sha (SHA-256 of the text), root, equal for all that links reach.
 
     Links are pairs of texts whose word shingles have a Jaccard similarity of ``share`` (numerator, denominator) or more: no others, and each of them
@@ -209,7 +209,7 @@ def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     identifiers; no rows give no rows; further columns are ignored.
     """
     spark, (p, q) = docs.sparkSession, share
-    scratch = Scratch(spark, "similar")
+    scratch = scratch or Scratch(spark, "similar")
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", sha_of().alias("sha"))
     factors = permutations(ROWS * bands_for(share))
 
@@ -236,8 +236,9 @@ def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     rows, count = (int(x or 0) for x in held.agg(F.sum("n"), F.count("n")).first())
     alike = heavy_light_join(cuts.select("fp", "node"), held.where("lead <> most"), "fp", "n", rows, F.col("node")).where("node <> lead").select(pair("lead", "node"))
     close = scratch.table(close_links(held.select("fp"), count, distance, scratch), "close")
+    # A fingerprint hangs from others in as many keys at most as it has; as a hub it may have any number.
     close = lookup(close, held.select(F.col("fp").alias("b"), F.col("lead").alias("lead_b")), "b", F.col("a"))
-    close = scratch.table(lookup(scratch.table(close, "close-b"), held.select(F.col("fp").alias("a"), F.col("lead").alias("lead_a")), "a", F.col("b")).select(pair("lead_a", "lead_b")), "close-ab")
+    close = close.join(held.select(F.col("fp").alias("a"), F.col("lead").alias("lead_a")), "a").select(pair("lead_a", "lead_b"))
 
     # Buckets that several texts share, and their members.
     every = cuts.select("node", F.explode("keys").alias("key"))
@@ -252,31 +253,36 @@ def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The links among candidate pairs (a, b)."""
         pairs = dealt(scratch.table(pairs.distinct(), f"{name}-pairs"), f"{name}-dealt")
-        nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         where = cuts.select("node", "sha").join(nodes, "node", "left_semi").groupBy("node", "sha").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct("sha", "n")).alias("x"))
         where = scratch.table(where.select("node", "x.sha", "x.n"), f"{name}-where")
         texts = d.where(bloom_test(where, "sha", where.count())(F.col("sha"))).select("sha", "text")
         texts = heavy_light_join(texts, where, "sha", "n", max(1, rows), F.xxhash64("text")).where("node is not null").dropDuplicates(["node"])
         texts = scratch.table(texts.select("node", "text"), f"{name}-texts")
         links = scratch.table(with_both(pairs, texts).mapInArrow(verify, "a long, b long"), name)
-        scratch.drop(*[f"{name}-{x}" for x in ("texts", "where", "nodes", "dealt-a", "dealt-b", "pairs")])
+        scratch.drop(*[f"{name}-{x}" for x in ("texts", "where", "dealt-a", "dealt-b", "pairs")])
         return links
 
     def dealt(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs with part_a and part_b, so that a text with very many pairs has several copies of what is joined to it."""
-        for x, y in ("ab", "ba"):
-            n = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")).where(f"n > {VERIFY_GROUP}")
+        """Pairs with part_a and part_b where some text has very many of them: as many copies of it are joined to them then."""
+        degrees = [pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")) for x in "ab"]
+        if (degrees[0].unionByName(degrees[1].withColumnRenamed("b", "a")).agg(F.max("n")).first()[0] or 0) <= VERIFY_GROUP:
+            return pairs
+        for x, y, n in zip("ab", "ba", degrees, strict=True):
             parts = F.ceil(F.coalesce("n", F.lit(1)) / VERIFY_GROUP)
-            pairs = heavy_light_join(pairs, n, x, "n", max(1, pairs.count()), F.col(y)).withColumn(f"part_{x}", F.pmod(F.xxhash64(y), parts).cast("long")).withColumn(f"parts_{x}", parts.cast("long")).drop("n")
+            pairs = heavy_light_join(pairs, n.where(f"n > {VERIFY_GROUP}"), x, "n", max(1, pairs.count()), F.col(y)).withColumn(f"part_{x}", F.pmod(F.xxhash64(y), parts).cast("long")).withColumn(f"parts_{x}", parts.cast("long")).drop("n")
             pairs = scratch.table(pairs, f"{name}-{x}")
         return pairs
 
     def with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
         for x in "ab":
-            copies = pairs.where(f"parts_{x} > 1").groupBy(F.col(x).alias("node")).agg(F.max(f"parts_{x}").alias("parts"))
-            own = held.join(copies, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-            own = own.select(*[F.col(c).alias({"node": x, "part": f"part_{x}"}.get(c, f"{c}_{x}")) for c in own.columns])
-            pairs = pairs.join(own, [x, f"part_{x}"])
+            own = held.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in held.columns])
+            if f"part_{x}" in pairs.columns:
+                copies = pairs.where(f"parts_{x} > 1").groupBy(x).agg(F.max(f"parts_{x}").alias("parts"))
+                own = own.join(copies, x, "left").withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+                pairs = pairs.join(own, [x, f"part_{x}"])
+            else:
+                pairs = pairs.join(own, x)
         return pairs
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +309,8 @@ def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     while True:
         k += 1
         named = members.select("key", "node", "n") if open_ is None else members.select("key", "node", "n").join(open_, "key", "left_semi")
-        named = scratch.table(named, f"open-{k}")
-        named = scratch.table(lookup(named, roots, "node", F.col("key")).withColumn("root", F.coalesce("root", "node")), f"rooted-{k}")
+        # A text is in no more buckets than there are bands.
+        named = scratch.table(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"rooted-{k}")
         mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m")).where("least <> most").select("key", "m")
         named = heavy_light_join(named, mixed, "key", "m", max(1, named.count()), F.col("node")).where("m is not null").drop("m")
         named = scratch.table(named, f"mixed-{k}")
@@ -320,7 +326,7 @@ def similar_roots(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
             rows_of = rows_of.unionByName(again)
         rows_of = rows_of.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         edges = scratch.table(rows_of.mapInArrow(_compare(share, k > FORESTS), "key long, a long, b long"), f"edges-{k}")
-        scratch.drop(f"open-{k}", f"rooted-{k}", f"mixed-{k}")
+        scratch.drop(f"rooted-{k}", f"mixed-{k}")
         if edges.isEmpty():
             break
         good = verified(edges.select("a", "b"), f"links-{k}")
@@ -341,5 +347,7 @@ def drop_similar(docs: DataFrame, **how) -> DataFrame:
     Null texts count as empty; of rows that repeat both text and identifier one stays.  Further columns may have any names.
     """
     inner, restore = shielded(docs, "doc_id", "text")
-    scratch = Scratch(docs.sparkSession, "similar-copies")
-    return restore(one_of_each(similar_roots(inner, **how), inner, scratch))
+    work = Scratch(docs.sparkSession, "similar")
+    left = restore(one_of_each(similar_roots(inner, scratch=work, **how), inner, Scratch(docs.sparkSession, "similar-copies")))
+    work.drop()  # what goes is written by now
+    return left
