@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tempograin.llm.common import Scratch
+from tempograin.llm.common import Scratch, quoted
+from tempograin.llm.secrets import code_points
 
 WINDOW = 8
-#: Text in one shard's index, distance of sampled positions, and benchmark text broadcast at once.
-SHARD_BYTES, SAMPLE, BLOCK_BYTES = 24 << 20, 8, 16 << 20
+#: Text in one shard's index, distance of sampled positions, and benchmark text of one broadcast, whose arrays take about ten times as much.
+SHARD_BYTES, SAMPLE, BLOCK_BYTES = 24 << 20, 8, 4 << 20
 
 #: Lower-cases A-Z; bytes other than digits, letters and those of non-ASCII characters separate words.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -147,25 +148,34 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items, as the broadcast holds them."""
+    """The windows of benchmark items, as the broadcast holds them: flat arrays of 32-bit numbers and the words."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        number = {x: i for i, x in enumerate(sorted({item for item, text in items if words_of(text)}))}
+        parts, sizes, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.sizes = np.array([len(p) for p in owners], np.int64)
-        self.table = np.zeros((len(owners), window), np.int64)
-        for k, p in enumerate(owners):
-            self.table[k, window - len(p) :] = p
-        names = sorted({x for s in owners.values() for x in s})
-        number = {x: i for i, x in enumerate(names)}
-        self.names = names
-        self.owner_at = np.concatenate(([0], np.cumsum([len(s) for s in owners.values()]))).astype(np.int64)
-        self.owners = np.array([number[x] for s in owners.values() for x in sorted(s)], np.int64)
-        self.least = int(self.sizes.min()) if len(owners) else 0
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                short = max(0, window - len(ids))
+                rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(short, np.int32), ids)), window)
+                parts.append(rows)
+                sizes.append(np.full(len(rows), window - short, np.int32))
+                owners.append(np.full(len(rows), number[item], np.int32))
+        # Padded at the left by zeros, which are no words, windows of different sizes differ.
+        self.table, first, which = np.unique(np.concatenate(parts), axis=0, return_index=True, return_inverse=True)
+        self.sizes = np.concatenate(sizes)[first].astype(np.int64)
+        pairs = np.unique(np.stack((which.reshape(-1).astype(np.int64), np.concatenate(owners))), axis=1)
+        self.names = sorted(number)
+        self.owner_at = np.searchsorted(pairs[0], np.arange(len(self.table) + 1))
+        self.owners = pairs[1].astype(np.int32)
+        self.least = int(self.sizes.min()) if len(self.table) else 0
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """A text's words as numbers of the vocabulary, 0 for all that isn't in it."""
+        words = words_of(text)
+        get = self.vocabulary.get
+        return np.fromiter((get(w, 0) for w in words), np.int32, len(words))
 
 
 def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,14 +185,13 @@ def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), which
 
 
-def hits(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
-    """For each document of a shard the merged word spans of all occurrences, and the numbers of the items that own them."""
+def hits(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """For each document of a shard, its words as numbers, the merged word spans of all occurrences, and the numbers of the items that own them."""
     out: list[tuple[list[tuple[int, int]], list[int]]] = [([], []) for _ in docs]
     if not len(phrases.table):
         return out
-    get, parts, doc_at, word_at, text_at, size = phrases.vocabulary.get, [np.zeros(1, np.int32)], [], [], [], 1
-    for k, words in enumerate(docs):
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+    parts, doc_at, word_at, text_at, size = [np.zeros(1, np.int32)], [], [], [], 1
+    for k, ids in enumerate(docs):
         edge = np.flatnonzero(np.diff(np.concatenate(([0], ids > 0, [0])).astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= phrases.least:
@@ -211,9 +220,13 @@ def hits(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int
             spans[-1] = (spans[-1][0], max(spans[-1][1], b))
         else:
             spans.append((a, b))
-    item, of = _spread(phrases.owner_at[phrase], phrases.owner_at[phrase + 1])
-    for d, i in np.unique(np.stack((doc[of], phrases.owners[item])), axis=1).T.tolist():
-        out[d][1].append(i)
+    # However often a phrase occurs in a document its owners count once, and owners are spread for one document at a time.
+    held = np.unique(doc * len(phrases.table) + phrase)
+    doc, phrase = held // len(phrases.table), held % len(phrases.table)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        item, _ = _spread(phrases.owner_at[phrase[a:b]], phrases.owner_at[phrase[a:b] + 1])
+        out[int(doc[a])][1].extend(np.unique(phrases.owners[item]).tolist())
     return out
 
 
@@ -221,24 +234,26 @@ _WORD = re.compile(rb"[^ ]+")
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
-    """Word spans as code points of ``text``, end exclusive."""
+    """Word spans, in order, as code points of ``text`` (start, end exclusive) and as words (first, last exclusive)."""
     data = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(data.translate(FOLD))]
-    point = (lambda i: i) if len(data) == len(text) else (lambda i: len(data[:i].decode("utf-8", "surrogatepass")))
-    return [{"start": point(at[a][0]), "end": point(at[b - 1][1])} for a, b in spans]
+    point = code_points(data, len(text))
+    return [{"start": point(at[a][0]), "end": point(at[b - 1][1]), "first": a, "last": b} for a, b in spans]
 
 
-HIT_COLUMNS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+#: A span to remove.
+SPAN = "struct<start:long,end:long,first:long,last:long>"
+HIT_COLUMNS = f"n_words long, n_hit long, items array<string>, spans array<{SPAN}>"
 
 
 def _scan(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "last")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
 
-        def shard(held: list[tuple[pa.RecordBatch, list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
+        def shard(held: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             found = iter(hits([w for _, words in held for w in words], phrases))
             for batch, words in held:
                 mine = [next(found) for _ in words]
@@ -251,7 +266,7 @@ def _scan(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                held.append((batch, [words_of(t.as_py()) for t in batch["text"]]))
+                held.append((batch, [phrases.numbers(t.as_py()) for t in batch["text"]]))
                 size += batch["text"].nbytes
                 if size > shard_bytes:
                     yield from shard(held)
@@ -269,7 +284,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     consecutive words, or all its words if there are fewer.  ``n_hit`` counts a document's words inside any occurrence, ``spans`` are its merged
     occurrences in code points.  Null and empty texts have no words and no hits; so have items, and with no items nothing is
     hit.  Items that share a window all count; rows that repeat an item_id are one item; a null item_id is the item ``null``.
-    Other columns of ``docs`` pass through, but n_words, n_hit, items and spans are replaced.
+    A span is given in code points (start, end) and in words (first, last), ends exclusive.  Other columns of ``docs`` pass through, but n_words, n_hit, items and spans are replaced.
     """
     docs = docs.drop("n_words", "n_hit", "items", "spans")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
@@ -282,18 +297,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = None
     for k in range(blocks):
-        part = _scan(rows.select("_row", "text"), block(k), shard_bytes).where("n_hit > 0 or size(items) > 0").select("_row", "items", "spans")
-        part = scratch.table(part, f"block-{k}")
+        part = _scan(rows.select("_row", "text"), block(k), shard_bytes)
+        part = scratch.table(part.drop("text") if k == 0 else part.where("n_hit > 0").drop("text"), f"block-{k}")
         found = part if found is None else found.unionByName(part)
-    whole = found.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    whole = whole.withColumn("spans", F.expr("""aggregate(spans, cast(array() as array<struct<start:long,end:long>>), (a, s) ->
-        if(size(a) > 0 and s.start <= element_at(a, -1).end,
-           concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(s.end, element_at(a, -1).end) as end))), concat(a, array(s))))"""))
-    words = lambda t: F.regexp_count(F.lower(t), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
-    inside = F.expr("transform(coalesce(spans, array()), s -> substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int)))")
-    out = rows.join(whole, "_row", "left").withColumn("n_words", F.coalesce(words("text"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_hit", F.aggregate(F.transform(inside, lambda t: words(t).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x))
-    return out.select(*docs.columns, "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
+    whole = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    whole = whole.withColumn("spans", F.expr(f"""aggregate(spans, cast(array() as array<{SPAN}>), (a, s) ->
+        if(size(a) > 0 and s.first <= element_at(a, -1).last,
+           concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(s.end, element_at(a, -1).end) as end, element_at(a, -1).first as first, greatest(s.last, element_at(a, -1).last) as last))),
+           concat(a, array(s))))"""))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
+    return rows.join(whole.withColumn("n_hit", hit), "_row").select(*[F.col(quoted(c)) for c in docs.columns], "n_words", "n_hit", "items", "spans")
 
 
 def without_spans(text: str = "text", spans: str = "spans") -> Column:
