@@ -1,16 +1,16 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 A candidate is a maximal run of key-like characters, and each part of one between separators, so that a name before a key does
-not change how the key is judged.  Its character class (digits, hexadecimal, letters and digits, base 64) sets the
+not change how the key is judged.  Its character class (digits, hexadecimal, letters, letters and digits, base 64, plain words) sets the
 window and the entropy that a window must reach.  Counts are updated as the window slides: one character enters and
 one leaves, and with n log2 n tabulated each step costs a few additions.  Windows over the threshold merge into spans.  An
-allow-list suppresses candidates that are known to be harmless; it never suppresses what the fixed patterns find.
+allow-list cuts out of a candidate what is known to be harmless, and only that; it never suppresses what the fixed patterns find.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log2
 
 import pyarrow as pa
@@ -26,16 +26,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: By character class: window length and bits a character that a window must reach.
-CLASSES = {"digit": (24, 3.25), "hex": (24, 3.0), "alnum": (24, 3.9), "base64": (24, 4.0)}
+CLASSES = {"digit": (24, 2.9), "hex": (24, 3.0), "letter": (24, 3.9), "alnum": (24, 3.9), "base64": (24, 4.0), "words": (24, 4.25)}
 LEAST_RUN = 24
 PART = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST_RUN)
-#: Candidates that are no secrets: UUIDs, dates and versions, paths and slugs of plain words, alphabets, placeholders.
+#: Runs of words and numbers between separators, as in paths and slugs; their letters repeat less than a language's but for a key.
+WORDS = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[-_/=+]+(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))+[-_/=+]*")
+#: Spans of a candidate that are no secrets: UUIDs, dates and versions, alphabets, placeholders.
 ALLOW = re.compile(
-    r"""(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}
-    |[0-9]{1,4}(?:[-_.:/][0-9]{1,4})+
-    |(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[-_/.=+](?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*
-    |.*(?:abcdefgh|ABCDEFGH|0123456789|123456789|qwertyuiop|EXAMPLE|example|xxxxx|XXXXX).*
-    )\Z""",
+    r"""(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])
+    |(?<![0-9A-Za-z])[0-9]{1,4}(?:[-_/][0-9]{1,4})+(?![0-9A-Za-z])
+    |abcdefgh|ABCDEFGH|0123456789|123456789|qwertyuiop|EXAMPLE|example|x{5,}|X{5,}""",
     re.VERBOSE,
 )
 
@@ -65,7 +65,9 @@ def char_class(s: str) -> str:
         return "digit"
     if all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s):
         return "hex"
-    return "alnum" if s.isalnum() else "base64"
+    if s.isalpha():
+        return "letter"
+    return "alnum" if s.isalnum() else "words" if WORDS.fullmatch(s) else "base64"
 
 
 def entropy_spans(s: str, classes: dict[str, tuple[int, float]] = CLASSES) -> list[tuple[int, int]]:
@@ -95,13 +97,17 @@ def entropy_spans(s: str, classes: dict[str, tuple[int, float]] = CLASSES) -> li
 
 
 def run_spans(s: str, allow: re.Pattern = ALLOW, classes: dict[str, tuple[int, float]] = CLASSES) -> list[tuple[int, int]]:
-    """Merged spans of a run and of its parts between separators, each by its own class; none in what is allowed."""
-    if allow.match(s):
-        return []
-    spans = entropy_spans(s, classes)
-    for m in PART.finditer(s):
-        if len(m[0]) < len(s) and not allow.match(m[0]):
-            spans += [(m.start() + a, m.start() + b) for a, b in entropy_spans(m[0], classes)]
+    """Merged spans of a run and of its parts between separators, each by its own class, without what is allowed."""
+    spans, at = [], 0
+    for m in [*allow.finditer(s), None]:
+        end = len(s) if m is None else m.start()
+        if end - at >= LEAST_RUN:
+            piece = s[at:end]
+            spans += [(at + a, at + b) for a, b in entropy_spans(piece, classes)]
+            for part in PART.finditer(piece):
+                if len(part[0]) < len(piece):
+                    spans += [(at + part.start() + a, at + part.start() + b) for a, b in entropy_spans(part[0], classes)]
+        at = len(s) if m is None else m.end()
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -111,21 +117,35 @@ def run_spans(s: str, allow: re.Pattern = ALLOW, classes: dict[str, tuple[int, f
     return merged
 
 
+def code_points(data: bytes, length: int) -> Callable[[int], int]:
+    """What turns byte positions at characters, given in rising order, into code points; each byte is decoded once."""
+    if len(data) == length:
+        return lambda i: i
+    byte = point = 0
+
+    def at(i: int) -> int:
+        nonlocal byte, point
+        point += len(data[byte:i].decode("utf-8", "surrogatepass"))
+        byte = i
+        return point
+
+    return at
+
+
 def scan(text: str, allow: re.Pattern = ALLOW, classes: dict[str, tuple[int, float]] = CLASSES) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans in code points, sorted; the base kinds are 0, 1, 2 and entropy is 3."""
     data = text.encode("utf-8", "surrogatepass")
-    ascii_only = len(data) == len(text)
     found: list[tuple[int, int, int]] = []
     low = data.lower()
     if any(k in low for k in KEYWORDS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if b"AKIA" in data:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
-    at = (lambda i: i) if ascii_only else (lambda i: len(data[:i].decode("utf-8", "surrogatepass")))
+    at = code_points(data, len(text))
     found += [((x := at(a)), 2, x + b - a) for a, b in runs(data, HEX_TABLE, HEX_LEAST)]
+    at = code_points(data, len(text))
     for a, b in runs(data, RUN_TABLE, LEAST_RUN):
-        s = data[a:b].decode("ascii")
-        if spans := run_spans(s, allow, classes):
+        if spans := run_spans(data[a:b].decode("ascii"), allow, classes):
             x = at(a)
             found += [(x + y, 3, x + z) for y, z in spans]
     return sorted(found)
@@ -170,5 +190,3 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "<SECRET>") -> s
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]])
-
-
