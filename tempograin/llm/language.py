@@ -34,14 +34,52 @@ SUFFIX = {
     "gr": "el", "hu": "hu", "ie": "en", "it": "it", "jp": "ja", "kr": "ko", "mx": "es", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt",
     "ro": "ro", "ru": "ru", "se": "sv", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en",
 }
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.DOTALL | re.IGNORECASE)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", re.IGNORECASE)
-_META = re.compile(r"""<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?([a-z]{2,3})\b""", re.IGNORECASE)
+#: Where a tag's name says what it is, and the attributes that declare a language.
+_RAW = {"script": re.compile(r"</script\s*>", re.IGNORECASE), "style": re.compile(r"</style\s*>", re.IGNORECASE)}
+_NAME = re.compile(r"<(script|style|html|meta)\b", re.IGNORECASE)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([a-z]{2,3})\b""", re.IGNORECASE)
+_CONTENT = re.compile(r"""\bcontent\s*=\s*["']?([a-z]{2,3})\b""", re.IGNORECASE)
+_ENTITY = re.compile(r"&#?\w+;")
 _URL = re.compile(r"(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?(?:/([^/?#]*))?", re.IGNORECASE)
 
 
-def visible(html: str | None) -> str:
-    return _TAGS.sub(" ", html or "")
+def read_page(html: str | None) -> tuple[str, str | None]:
+    """A page's visible text, and the language that its markup declares: the first ``lang`` of an html tag, else the first content-language.
+
+    Tags, comments, scripts and styles are passed over once from left to right, whatever is unclosed: an unclosed script or comment
+    is a tag, and an unclosed tag is text.
+    """
+    html = html or ""
+    out, at, lang, meta, gone = [], 0, None, None, set()
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        end, name = -1, None
+        if html.startswith("<!--", start) and "-->" not in gone:
+            end = html.find("-->", start + 4)
+            if end < 0:
+                gone.add("-->")  # so that the rest isn't searched again for each opening
+            end = end + 3 if end >= 0 else -1
+        elif m := _NAME.match(html, start):
+            name = m[1].lower()
+            if name in _RAW and name not in gone:
+                close = _RAW[name].search(html, m.end())
+                if close is None:
+                    gone.add(name)
+                end = close.end() if close else -1
+        if end < 0:
+            end = html.find(">", start) + 1
+            if not end:
+                at = start
+                break
+            if name == "html" and lang is None:
+                lang = _LANG.search(html, start, end)
+            elif name == "meta" and meta is None and "content-language" in html[start:end].lower():
+                meta = _CONTENT.search(html, start, end)
+        out.append(" ")
+        at = end
+    out.append(html[at:])
+    told = lang or meta
+    return _ENTITY.sub(" ", "".join(out)), told[1].lower() if told else None
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -131,10 +169,8 @@ def identify(pages: DataFrame, languages: list[str], table: np.ndarray, smooth:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("page_id", "host", "domain", "suffix", "address_lang", "declared_lang", "text")}
             for page, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"], strict=True):
-                raw = html.as_py() or ""
-                m = _DECLARED.search(raw) or _META.search(raw)
-                declared = m[1].lower() if m and m[1].lower() in known else None
-                for k, v in zip(out, (page, *address(url, known), declared, text_scores(visible(raw), table)), strict=True):
+                text, declared = read_page(html.as_py())
+                for k, v in zip(out, (page, *address(url, known), declared if declared in known else None, text_scores(text, table)), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("host", "domain", "suffix", "address_lang", "declared_lang")), pa.array(out["text"], pa.list_(pa.float64()))], names=list(out))
 
