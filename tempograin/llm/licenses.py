@@ -24,7 +24,7 @@ LEAST = 0.8
 #: Probability with which a window that passes verification is retrieved.
 SURE = 0.9999
 #: Template text that may be broadcast; more templates are refused.
-TEMPLATE_BYTES = 8 << 20
+TEMPLATE_BYTES = 1 << 20
 
 #: Notices by which public licences are named in texts.
 NOTICES = {
@@ -88,6 +88,13 @@ def license_matches(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, sh
     sizes = {len(r[0]) for r in t.select("t_hashes").collect()}
     classes, bands = sorted({window_class(n) for n in sizes}), bands_for(least, sure)
     every = F.array(*[F.lit(h) for h in known])
+    # The same hashes in cells of a few, one of which is looked into for a shingle.
+    cells = 1 << max(1, len(known) - 1).bit_length()
+    dealt: list[list[int]] = [[] for _ in range(cells)]
+    for h in known:
+        dealt[h % cells].append(h)
+    cell = F.array(*[F.array(*[F.lit(h) for h in c]).cast("array<bigint>") for c in dealt])
+    is_known = lambda h: F.array_contains(F.get(cell, F.pmod(h, F.lit(cells)).cast("int")), h)
 
     words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[0-9a-z]+"), F.lit(0))
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
@@ -95,11 +102,12 @@ def license_matches(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, sh
     near = F.coalesce(F.arrays_overlap("hashes", every), F.lit(False))
     rows = scratch.table(hashed.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(near, F.col("words")).alias("words"), F.when(near, F.col("hashes")).alias("hashes")), "rows")
 
-    spots = rows.where("hashes is not null").withColumn("spots", F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(every, h), i)), lambda i: i.isNotNull()))
-    windows = spots.select("row", "words", "hashes", F.inline(F.flatten(F.array(*[_windows("spots", w) for w in classes]))))
-    windows = windows.withColumn("held", F.slice("hashes", F.col("j") + 1, F.col("w")))
+    spots = rows.where("hashes is not null").withColumn("spots", F.filter(F.transform("hashes", lambda h, i: F.when(is_known(h), i)), lambda i: i.isNotNull()))
+    # Only a window's own part of the text goes with it.
+    part = lambda x: F.struct(x["w"].alias("w"), x["j"].alias("j"), F.slice("hashes", x["j"] + 1, x["w"]).alias("held"), F.slice("words", x["j"] + 1, x["w"] + (shingle - 1)).alias("words"))
+    windows = spots.select("row", F.inline(F.transform(F.flatten(F.array(*[_windows("spots", w) for w in classes])), part)))
     minima = lambda column: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(column, lambda h: F.xxhash64(h, b))))
-    signed = windows.select("row", "w", "j", F.slice("words", F.col("j") + 1, F.col("w") + shingle - 1).alias("words"), F.posexplode(minima(F.col("held"))).alias("band", "low"))
+    signed = windows.select("row", "w", "j", "words", F.posexplode(minima(F.col("held"))).alias("band", "low"))
     w_of = F.element_at(F.create_map(*[F.lit(x) for n in sizes for x in (n, window_class(n))]), F.size("t_hashes"))
     keyed = t.withColumn("w", w_of).select("license", "part", "w", "t_texts", F.posexplode(minima(F.col("t_hashes"))).alias("band", "low"))
     met = signed.join(F.broadcast(keyed), ["w", "band", "low"]).dropDuplicates(["row", "w", "j", "license", "part"])
