@@ -1,44 +1,67 @@
 """Token counts by a two-tier, map-side look-up of pre-token lengths.
 
-A text's count is the sum over its pre-tokens.  The first tier is a compact table of frequent pre-tokens, broadcast to all workers: the
-tokenizer's own vocabulary, which is the record of what was frequent when it was trained, so its size is bounded by the
-vocabulary's.  The second tier is a cache in each worker for what the first lacks; a miss is encoded once.
-Nothing is shuffled, and counts don't depend on what either tier holds.
+A text's count is the sum over its pre-tokens, which the library's own pre-tokenizer cuts.  The first tier is a compact table of the lengths of frequent
+pre-tokens, counted over a sample of the texts and broadcast to all workers.  The second tier is a cache in each worker process, which tasks share: what
+the first lacks is encoded once, and a stretch of text between two spaces is summed once.  Nothing is shuffled, and counts don't depend on what
+either tier holds.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections import Counter as Tally
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.llm.common import own_columns
 
-#: Fixed value: the split of byte-level BPE, as its public definition gives it.
-PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
-#: Scripts whose character classes are old and settled; texts beyond are left to the library as a whole.
-UNUSUAL = regex.compile("[^\u0000-ɏͰ-ӿ‐-⁞₠-₿]")
-#: How byte-level BPE writes a byte: printable Latin-1 as itself, the others in order from U+0100 on.
-_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: Entries of a worker's cache; a full one starts anew.
-CACHE = 1_000_000
+#: About so many texts say which pre-tokens are frequent; so many at most are broadcast, and so many at most come from one partition.
+SAMPLE, FREQUENT, PART = 2_000, 50_000, 20_000
+#: Entries of each of a worker's caches, after which it starts anew, and the longest stretch that is kept.
+CACHE, LONGEST = 500_000, 64
+#: A stretch begins at a space before something else: no pre-token reaches over such a place, whatever lies on its sides.
+_STRETCH = re.compile(r"(?= [^\s᠎])")
 
 
-def frequent(path: str) -> bytes:
-    """The compact first tier: pre-tokens of the vocabulary with their lengths, as one sorted blob."""
+def opened(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    special = {t.content for t in tok.get_added_tokens_decoder().values()}
-    words = sorted({w for w in (tok.decode([i]) for i in range(tok.get_vocab_size())) if w and "\0" not in w and "�" not in w and w not in special and PRE_TOKEN.fullmatch(w)})
-    sizes = np.array([len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)], "<u2")
-    return np.uint32(len(words)).tobytes() + sizes.tobytes() + "\0".join(words).encode()
+    return Tokenizer.from_file(path)
+
+
+def frequent(texts: DataFrame, path: str, sample: int = SAMPLE, most: int = FREQUENT) -> list[str]:
+    """The most frequent pre-tokens of about ``sample`` of the ``texts`` (text); each partition counts its own, the driver adds up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, tally = None, Tally()
+        for batch in batches:
+            cut = cut or opened(path).pre_tokenizer.pre_tokenize_str
+            for text in batch["text"]:
+                tally.update(word for word, _ in cut(text.as_py() or ""))
+        top = tally.most_common(PART)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+
+    n = texts.count()
+    some = texts.sample(min(1.0, sample / n), seed=11) if n else texts
+    rows, tally = some.mapInArrow(run, "word string, n long").toArrow(), Tally()
+    for word, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True):
+        tally[word] += n
+    return [w for w, _ in tally.most_common(most)]
+
+
+def packed(words: list[str], path: str) -> bytes:
+    """The first tier as one blob: pre-tokens and their lengths."""
+    model = opened(path).model
+    words = [w for w in words if w and "\0" not in w]
+    sizes = np.array([min(len(model.tokenize(w)), 65_535) for w in words], "<u2")
+    kept = [w for w, n in zip(words, sizes, strict=True) if n < 65_535]
+    return np.uint32(len(kept)).tobytes() + sizes[sizes < 65_535].tobytes() + "\0".join(kept).encode()
 
 
 def unpack(blob: bytes) -> dict[str, int]:
@@ -46,60 +69,95 @@ def unpack(blob: bytes) -> dict[str, int]:
     return dict(zip(blob[4 + 2 * n :].decode().split("\0") if n else [], np.frombuffer(blob, "<u2", n, 4).tolist(), strict=True))
 
 
+class Irregular(Exception):
+    """A text whose spaces don't all begin a stretch."""
+
+
 class Lengths(dict):
-    """Both tiers as one look-up: what isn't there yet is encoded once and kept."""
+    """Both tiers as one look-up of pre-tokens: what isn't there yet is encoded once and kept."""
 
-    def __init__(self, first: dict[str, int], tok, most: int):
+    def __init__(self, first: dict[str, int], model, most: int):
         super().__init__(first)
-        self.first, self.model, self.most = first, tok.model, most + len(first)
+        self.first, self.model, self.most = first, model, most + len(first)
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS)))
-        return n
-
-    def trim(self) -> None:
-        if len(self) > self.most:
+        if len(self) >= self.most:
             self.clear()
             self.update(self.first)
+        n = self[word] = len(self.model.tokenize(word))
+        return n
+
+
+class Stretches(dict):
+    """Counts of stretches by what follows their leading space."""
+
+    def __init__(self, count, most: int):
+        super().__init__()
+        self.count, self.most = count, most
+
+    def __missing__(self, rest: str) -> int:
+        if not rest or rest[0].isspace() or rest[0] == "᠎":
+            raise Irregular
+        n = self.count(" " + rest)
+        if len(rest) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[rest] = n
+        return n
 
 
 class Counter:
     """Counts tokens of texts with both tiers."""
 
     def __init__(self, path: str, blob: bytes, cache: int = CACHE):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
+        self.tok = opened(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.lengths = Lengths(unpack(blob), self.tok, cache)
+        self.cut, self.lengths = self.tok.pre_tokenizer.pre_tokenize_str, Lengths(unpack(blob), self.tok.model, cache)
+        self.stretches = Stretches(self.stretch, cache)
 
     def whole(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def stretch(self, text: str) -> int:
+        lengths = self.lengths
+        return sum([lengths[word] for word, _ in self.cut(text)])
+
     def count(self, text: str) -> int:
-        if UNUSUAL.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.whole(text)
-        self.lengths.trim()
-        return sum(map(self.lengths.__getitem__, PRE_TOKEN.findall(text)))
+        first, *rest = text.split(" ")
+        try:
+            return (self.stretch(first) if first else 0) + sum(map(self.stretches.__getitem__, rest))
+        except Irregular:
+            return sum(map(self.stretch, _STRETCH.split(text)))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+#: The worker process's counter, which outlives its tasks: one, for the table that was used last.
+_HELD: dict[tuple, Counter] = {}
+
+
+def held(key: tuple, path: str, blob: bytes, cache: int) -> Counter:
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Counter(path, blob, cache)
+    return _HELD[key]
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
     ``tokenizer`` is the path of a byte-level BPE's JSON file, the same on every worker.  Begin, end and other special tokens are not added; their
-    strings inside a text are handled as the library does by default.  Null counts as empty, which has 0 tokens.  Rows
+    strings inside a text are handled as the library does by default, which then encodes that text.  Null counts as empty, which has 0 tokens.  Rows
     may repeat and keep their null identifiers; no rows give no rows; further columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent(tokenizer))
+    d = own_columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    blob = packed(frequent(d.select("text"), tokenizer, sample), tokenizer)
+    sent, key = docs.sparkSession.sparkContext.broadcast(blob), (tokenizer, cache, hash(blob))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
         for batch in batches:
-            if counter is None:
-                counter = Counter(tokenizer, sent.value, cache)
-            n = [counter.count(t.as_py() or "") for t in batch["text"]]
+            count = held(key, tokenizer, sent.value, cache).count
+            n = [count(t.as_py() or "") for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    d = own_columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
