@@ -18,14 +18,16 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import Scratch, heavy_light_join, own_columns, partitions
+from tempograin.llm.common import Scratch, bloom_test, heavy_light_join, own_columns, partitions
 
 INDEX = "archive string, offset long, length long, url string, digest string, record_id string, record_type string"
 #: An archive is closed at this size; ranges no further apart than GAP are read at once, up to SPAN bytes.
 ARCHIVE_BYTES, GAP, SPAN = 256 << 20, 64 << 10, 4 << 20
+#: Groups of equal payloads that are broadcast, at about 60 bytes each; more are joined.
+BROADCAST_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -73,7 +75,7 @@ def unpack(data: bytes) -> bytes:
 
 
 def write_archives(records: DataFrame, path: str, gzip: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``records`` (record_id, url, payload binary, digest, size, refers_to) and give the index rows."""
+    """Write ``records`` (record_id, url, payload binary, sha1 binary, size, refers_to) and give the index rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, "", 0
@@ -87,9 +89,10 @@ def write_archives(records: DataFrame, path: str, gzip: bool = True, archive_byt
                     fs, local = pafs.FileSystem.from_uri(name)
                     fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(local, compression=None)  # the name would have it packed twice
-                data = pack(record(r["record_id"], r["url"], r["payload"] or b"", r["digest"], r["refers_to"], r["size"]), gzip)
+                digest = base64.b32encode(r["sha1"]).decode()
+                data = pack(record(r["record_id"], r["url"], r["payload"] or b"", digest, r["refers_to"], r["size"]), gzip)
                 out.write(data)
-                for k, v in (("archive", name), ("offset", at), ("length", len(data)), ("url", r["url"]), ("digest", r["digest"]), ("record_id", r["record_id"]), ("record_type", "response" if r["refers_to"] is None else "revisit")):
+                for k, v in (("archive", name), ("offset", at), ("length", len(data)), ("url", r["url"]), ("digest", digest), ("record_id", r["record_id"]), ("record_type", "response" if r["refers_to"] is None else "revisit")):
                     rows[k].append(v)
                 at += len(data)
                 if at >= archive_bytes:
@@ -151,13 +154,6 @@ def _bare(urn: str) -> str:
     return urn.removeprefix("<urn:page:").removesuffix(">")
 
 
-def base32(digest: Column) -> Column:
-    """Upper-case base 32 of a hexadecimal SHA-1, by DataFrame functions."""
-    bits = F.array_join(F.transform(F.split(digest, ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(alphabet), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
-
-
 def write_pages(pages: DataFrame, path: str | None = None, least: int = 0, gzip: bool = True) -> DataFrame:
     """Write one record per row of ``pages`` (page_id, url, html) and give the written index as a table.
 
@@ -175,7 +171,14 @@ def write_pages(pages: DataFrame, path: str | None = None, least: int = 0, gzip:
     again = ids.groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("reps")).where("reps > 1")
     groups = scratch.table(groups, "groups")
     repeated = not again.join(groups, "key").where(F.col("page_id").eqNullSafe(F.col("lead"))).isEmpty()
-    joined = heavy_light_join(p, groups, "key", "n", total, F.col("page_id"))
+    many = groups.count()
+    alone = None
+    if many <= BROADCAST_ROWS:
+        joined = p.join(F.broadcast(groups), "key", "left")
+    else:  # payloads that no other page has stay where they are
+        maybe = bloom_test(groups, "key", many)(F.col("key"))
+        alone = p.where(~maybe).withColumns({"lead": F.lit(None).cast("long"), "leads": F.lit(True)})
+        joined = heavy_light_join(p.where(maybe), groups, "key", "n", total, F.col("page_id"))
     small = F.col("size") < least
     leads = F.col("n").isNull() | small | F.col("page_id").eqNullSafe(F.col("lead"))
     if repeated:  # rare: of the rows with the largest identifier only the first is the response
@@ -184,8 +187,10 @@ def write_pages(pages: DataFrame, path: str | None = None, least: int = 0, gzip:
         joined = heavy_light_join(joined, first, "key", "n1", total, F.col("row"))
         leads = F.col("n").isNull() | small | F.col("row").eqNullSafe(F.col("first"))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    rows = joined.withColumn("leads", leads).select(
+    joined = joined.withColumn("leads", leads)
+    joined = joined if alone is None else alone.unionByName(joined.select(*alone.columns))
+    rows = joined.select(
         named("page_id").alias("record_id"), "url", F.when(F.col("leads"), F.col("payload")).alias("payload"), "size",
-        F.sha1("payload").alias("sha1"), F.when(~F.col("leads"), named("lead")).alias("refers_to"),
+        F.unhex(F.sha1("payload")).alias("sha1"), F.when(~F.col("leads"), named("lead")).alias("refers_to"),
     )
-    return scratch.table(write_archives(rows.withColumn("digest", base32(F.col("sha1"))).drop("sha1"), path or f"{scratch.path}/archives", gzip), "index")
+    return scratch.table(write_archives(rows, path or f"{scratch.path}/archives", gzip), "index")
