@@ -11,6 +11,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempograin.functions.grid import div, floor_div
+
+
+#: Rows that a chunk is meant to hold.
+CHUNK_ROWS = 65_536
+
+
+def chunk_width(n: Column, first: Column, last: Column, rows: int = CHUNK_ROWS) -> Column:
+    """Ticks of a chunk so that ``n`` rows from ``first`` to ``last`` fall into chunks of about ``rows``, however dense they are."""
+    return F.greatest(F.lit(1), div(last - first, F.greatest(F.lit(1), div(n, rows))) + 1).cast("long")
+
+
+def with_chunks(df: DataFrame, group: Sequence[str], name: str, chunk: int | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with the number ``name`` of each row's chunk: of ``chunk`` ticks, or by default of each group's own width for about ``rows`` rows."""
+    if chunk is not None:
+        return df.withColumn(name, floor_div(F.col("ts"), chunk))
+    spans = df.groupBy(*group).agg(chunk_width(F.count(F.lit(1)), F.min("ts"), F.max("ts"), rows).alias("_width"))
+    return same_join(df, spans, group).withColumn(name, F.floor(F.col("ts") / F.col("_width"))).drop("_width")
+
+
+def neighbours(df: DataFrame, group: Sequence[str], chunk: int | None = None) -> DataFrame:
+    """``df`` (group, ts, value; unique in ts) with the value and instant before (p, pt) and after (q, qt) each row."""
+    df = with_chunks(df, group, "_chunk", chunk).withColumn("_own", F.struct("ts", "value"))
+    edges = df.groupBy(*group, "_chunk").agg(F.min_by("_own", "ts").alias("_first"), F.max_by("_own", "ts").alias("_last"))
+    row = Window.partitionBy(*group).orderBy("_chunk")
+    around = edges.select(*group, "_chunk", F.lag("_last").over(row).alias("_before"), F.lead("_first").over(row).alias("_after"))
+    row = Window.partitionBy(*group, "_chunk").orderBy("ts")
+    met = _join(df, around, group).withColumn("_p", F.coalesce(F.lag("_own").over(row), "_before")).withColumn("_q", F.coalesce(F.lead("_own").over(row), "_after"))
+    met = met.withColumns({"p": F.col("_p.value"), "pt": F.col("_p.ts"), "q": F.col("_q.value"), "qt": F.col("_q.ts")})
+    return met.drop("_chunk", "_own", "_before", "_after", "_p", "_q")
+
 
 def carried(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Column, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with, for each named expression, its last non-null value up to the row (``before``) or its first from the row on (``after``).
@@ -46,9 +77,19 @@ def running_count(df: DataFrame, group: Sequence[str], order: Sequence[str], chu
     return met.drop("_chunk", "_one", "_before")
 
 
+def same_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, where nulls equal each other; key columns come from ``left``, others of ``right`` have names of their own.
+
+    Without keys ``right`` is a single row, such as totals of a single series.
+    """
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    named = right.select(*[F.col(k).alias(f"_g_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{i}"))
+    return left.join(named, same, how).drop(*[f"_g_{i}" for i in range(len(keys))])
+
+
 def _join(df: DataFrame, chunks: DataFrame, group: Sequence[str]) -> DataFrame:
-    named = chunks.select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], F.col("_chunk").alias("_g_chunk"), *[c for c in chunks.columns if c not in group and c != "_chunk"])
-    same = F.col("_chunk") == F.col("_g_chunk")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{i}"))
-    return df.join(named, same).drop("_g_chunk", *[f"_g_{i}" for i in range(len(group))])
+    return same_join(df, chunks, [*group, "_chunk"])

@@ -1,6 +1,6 @@
 """Event detectors over a regular series (group, ts, value), and their registry.
 
-A detector gives rows (group, event, start, end).  Neighbours are lag and lead; the drawdown detector carries its running high over a stream of
+A detector gives rows (group, event, start, end).  Neighbours are lag and lead within chunks of a series, and its chunks' edges; the drawdown detector carries its running high over a stream of
 sorted rows.
 """
 
@@ -9,19 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.functions.grid import moment
+from tempograin.operators.chunks import neighbours, same_join
 
 Detector = Callable[[DataFrame], DataFrame]
 
 
-def _neighbours(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy("ts")
-    return df.withColumn("p", F.lag("value").over(w)).withColumn("pt", F.lag("ts").over(w)).withColumn("q", F.lead("value").over(w)).withColumn("qt", F.lead("ts").over(w))
-
-
 def _events(df: DataFrame, group: Sequence[str], name: str, start: str | Column, end: str | Column) -> DataFrame:
     col = lambda c: F.col(c) if isinstance(c, str) else c
     return df.select(*group, F.lit(name).alias("event"), col(start).alias("start"), col(end).alias("end"))
@@ -33,14 +29,14 @@ def since(df: DataFrame, start: int | None) -> DataFrame:
 
 def peaks(df: DataFrame, group: Sequence[str] = (), name: str = "peak", everywhere: bool = False) -> DataFrame:
     """Strict local maxima, unless ``everywhere`` only those that are the series' maximum; spans from the sample before to the one after."""
-    hit = _neighbours(df, group).where((F.col("p") < F.col("value")) & (F.col("q") < F.col("value")))
+    hit = neighbours(df, group).where((F.col("p") < F.col("value")) & (F.col("q") < F.col("value")))
     if not everywhere:
         hit = _with_extreme(hit, df, group, F.max("value")).where("value = extreme")
     return _events(hit, group, name, "pt", "qt")
 
 
 def valleys(df: DataFrame, group: Sequence[str] = (), name: str = "valley", everywhere: bool = False) -> DataFrame:
-    hit = _neighbours(df, group).where((F.col("p") > F.col("value")) & (F.col("q") > F.col("value")))
+    hit = neighbours(df, group).where((F.col("p") > F.col("value")) & (F.col("q") > F.col("value")))
     if not everywhere:
         hit = _with_extreme(hit, df, group, F.min("value")).where("value = extreme")
     return _events(hit, group, name, "pt", "qt")
@@ -48,13 +44,13 @@ def valleys(df: DataFrame, group: Sequence[str] = (), name: str = "valley", ever
 
 def _with_extreme(hit: DataFrame, df: DataFrame, group: Sequence[str], extreme: Column) -> DataFrame:
     found = df.groupBy(*group).agg(extreme.alias("extreme"))
-    return hit.join(found, list(group)) if group else hit.crossJoin(F.broadcast(found))  # one row
+    return same_join(hit, found, group)
 
 
 def crossings(df: DataFrame, threshold: float, up: bool = True, group: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """Where the series reaches the threshold from strictly below (``up``) or above; spans from the sample before."""
     t, v, p = F.lit(threshold), F.col("value"), F.col("p")
-    hit = _neighbours(df, group).where((p < t) & (t <= v) if up else (p > t) & (t >= v))
+    hit = neighbours(df, group).where((p < t) & (t <= v) if up else (p > t) & (t >= v))
     return _events(hit, group, name or ("crossing_up" if up else "crossing_down"), "pt", "ts")
 
 

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.functions.grid import Width, div, floor_div, width
-from tempograin.operators.chunks import running_count
+from tempograin.functions.grid import Width, div, width
+from tempograin.operators.chunks import chunk_width, running_count, same_join
 
 DEGREES = {"linear": 1, "quadratic": 2, "cubic": 3}
 MOST_POINTS = 10_000_000
@@ -35,24 +35,26 @@ def knots_of(df: DataFrame, group: Sequence[str] = (), arrival: str = "seq", ts:
     return kept.groupBy(*group, ts).agg(v.cast("double").alias("value")).withColumnRenamed(ts, "ts")
 
 
-def interpolate_at(knots: DataFrame, grid: DataFrame, method: str | int = "cubic", group: Sequence[str] = (), bound: float | None = None, chunk: int = 1 << 40) -> DataFrame:
+def interpolate_at(knots: DataFrame, grid: DataFrame, method: str | int = "cubic", group: Sequence[str] = (), bound: float | None = None, chunk: int | None = None) -> DataFrame:
     """``grid`` (group, ts) with value and kind (raw, interpolated, extrapolated) from ``knots`` (group, ts, value; unique in ts).
 
     With too few knots the degree falls to what they allow; a single knot is a constant; groups without knots give no rows.  Outside the
     knots the edge polynomial goes on, save that ``cubic`` keeps the edge value.  ``bound`` b clamps what lies outside to the knots' range widened
-    by b times itself.
+    by b times itself.  Chunks hold ``chunk`` ticks at most, and about as many knots each however dense these are.
     """
     size = degree_of(method) + 1
     both = knots.select(*group, "ts", F.col("value").cast("double").alias("v"), F.lit(0).alias("side")).unionByName(grid.select(*group, "ts", F.lit(None).cast("double").alias("v"), F.lit(1).alias("side")))
-    both = running_count(both, group, ["ts", "side"], floor_div(F.col("ts"), chunk), F.col("side") == 0, "a")
     totals = knots.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min(F.col("value").cast("double")).alias("low"), F.max(F.col("value").cast("double")).alias("high"))
-    both = both.join(totals, list(group)) if group else both.crossJoin(F.broadcast(totals))  # one row: totals of a single series
+    both = same_join(both, totals, group)
+    cut = chunk_width(F.col("n"), F.col("first"), F.col("last"))
+    cut = cut if chunk is None else F.least(cut, F.lit(chunk))
+    both = running_count(both, group, ["ts", "side"], F.floor(F.col("ts") / cut), F.col("side") == 0, "a")
     w = F.least(F.lit(size), "n")
     own = both.where("side = 0").withColumn("i", F.col("a") - 1)
     shifts = own.select(*group, "ts", "v", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - w + 1), F.least(F.col("i"), F.col("n") - w))).alias("start"))
     windows = shifts.groupBy(*group, "start").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("x"), F.col("v").alias("y")))).alias("k"))
     points = both.where("side = 1").withColumn("start", F.greatest(F.lit(0), F.least(F.col("a") - div(w, 2), F.col("n") - w)))
-    met = points.join(windows, [*group, "start"])
+    met = same_join(points, windows, [*group, "start"])
     t = F.col("ts")
     outside = (t < F.col("first")) | (t > F.col("last"))
     hit = F.filter("k", lambda p: p["x"] == t)
@@ -98,7 +100,7 @@ def interpolate(df: DataFrame, step: Width | str, method: str | int = "cubic", g
         knots = knots.where(F.col("ts").between((start if start is not None else -(1 << 62)) - margin, (end if end is not None else 1 << 62) + margin))
     spans = knots.groupBy(*group).agg((F.min("ts") if start is None else F.min(F.lit(start).cast("long"))).alias("start"), (F.max("ts") if end is None else F.min(F.lit(end).cast("long"))).alias("end"))
     if not beyond:
-        spans = knots.groupBy(*group).agg(F.max("ts").alias("_last")).join(spans, list(group)) if group else spans.crossJoin(F.broadcast(knots.agg(F.max("ts").alias("_last"))))  # one row
+        spans = same_join(spans, knots.groupBy(*group).agg(F.max("ts").alias("_last")), group)
         spans = spans.withColumn("end", F.least("end", "_last")).drop("_last")
     return interpolate_at(knots, grid_of(spans, ticks, group), method, group, bound, chunk=ticks * CHUNK_STEPS)
 

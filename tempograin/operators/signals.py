@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograin.functions.grid import div
+from tempograin.operators.chunks import same_join
 
 TYPES = ("start", "mid", "end")
 
@@ -25,10 +26,10 @@ def correlate(manifestations: DataFrame, patterns: DataFrame, group: Sequence[st
     w = Window.partitionBy(*group, "event").orderBy("start")
     gaps = manifestations.withColumn("gap", F.lead("start").over(w) - F.col("start"))
     kinds = patterns.select(*group, "step").distinct()
-    met = gaps.join(kinds, list(group)) if group else gaps.crossJoin(F.broadcast(kinds))  # resolutions are a handful
+    met = same_join(gaps, kinds, group) if group else gaps.crossJoin(F.broadcast(kinds))  # resolutions are a handful
     steps = div(F.col("gap"), F.col("step"))
     means = met.groupBy(*group, "event", "step").agg(div(F.sum(F.when(steps > 0, steps)), F.nullif(F.count_if(steps > 0), F.lit(0))).alias("average_distance"))
-    return means.join(patterns, [*group, "step"]).select(*group, "event", "pattern", "step", "average_distance")
+    return same_join(means, patterns, [*group, "step"]).select(*group, "event", "pattern", "step", "average_distance")
 
 
 def signals(correlations: DataFrame, manifestations: DataFrame, occurrences: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +42,8 @@ def signals(correlations: DataFrame, manifestations: DataFrame, occurrences: Dat
     """
     key = [*group, "event", "pattern"]
     pairs = correlations.select(*key, "step", "average_distance")
-    men = pairs.join(manifestations, [*group, "event"]).select(*key, "step", F.col("start").alias("t"), F.lit(1).alias("side"), "start", "end", F.lit(None).cast("long").alias("occ"))
-    occ = pairs.join(occurrences.select(*group, "pattern", F.col("end").alias("occ")), [*group, "pattern"]).select(*key, "step", F.col("occ").alias("t"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "occ")
+    men = same_join(pairs, manifestations, [*group, "event"]).select(*key, "step", F.col("start").alias("t"), F.lit(1).alias("side"), "start", "end", F.lit(None).cast("long").alias("occ"))
+    occ = same_join(pairs, occurrences.select(*group, "pattern", F.col("end").alias("occ")), [*group, "pattern"]).select(*key, "step", F.col("occ").alias("t"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "occ")
     both = men.unionByName(occ)
     w = Window.partitionBy(*key).orderBy("t", "side")
     both = both.withColumn("before", F.last("occ", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -51,14 +52,14 @@ def signals(correlations: DataFrame, manifestations: DataFrame, occurrences: Dat
     past = both.where("side = 1 and before is not null").select(*key, "step", F.col("start").alias("manifestation_start"), F.col("before").alias("date"), F.inline(kinds))
     least = past.where("signal_type = 'start' and distance > 0").groupBy(*key, "signal_type").agg(F.min("distance").alias("distance"))
     latest = manifestations.groupBy(*group, "event").agg(F.max("end").alias("latest"))
-    ahead = occ.join(latest, [*group, "event"]).where("occ > latest").join(least, key)
+    ahead = same_join(same_join(occ, latest, [*group, "event"]).where("occ > latest"), least, key)
     ahead = ahead.select(*key, "step", F.lit(None).cast("long").alias("manifestation_start"), F.col("occ").alias("date"), "signal_type", "distance")
     return past.withColumn("forward", F.lit(False)).unionByName(ahead.withColumn("forward", F.lit(True)))
 
 
 def expire(found: DataFrame, correlations: DataFrame, now: int, group: Sequence[str] = ()) -> DataFrame:
     """Signals that aren't past: neither is their predicted instant, nor the manifestation's start plus the average distance."""
-    met = found.join(correlations.select(*group, "event", "pattern", "average_distance"), [*group, "event", "pattern"])
+    met = same_join(found, correlations.select(*group, "event", "pattern", "average_distance"), [*group, "event", "pattern"])
     due = F.col("date") + F.col("distance") * F.col("step")
     again = F.col("manifestation_start") + F.col("average_distance") * F.col("step")
     return met.where((due > F.lit(now)) & (again.isNull() | (again > F.lit(now)))).drop("average_distance")
@@ -78,12 +79,12 @@ def probabilities(found: DataFrame, correlations: DataFrame, manifestations: Dat
     manifestation's start, middle or end by type over the mean average distance.
     """
     key = [*group, "event", "pattern"]
-    met = found.where(F.col("date") <= F.lit(now)).join(correlations.select(*key, "average_distance"), key)
+    met = same_join(found.where(F.col("date") <= F.lit(now)), correlations.select(*key, "average_distance"), key)
     w = Window.partitionBy(*group, "event").orderBy("start")
     men = manifestations.withColumn("mid", F.col("start") + div(F.col("end") - F.col("start"), 2)).withColumn("mid_before", F.lag("mid").over(w))
-    met = met.join(men.select(*group, "event", F.col("start").alias("manifestation_start"), "mid_before"), [*group, "event", "manifestation_start"], "left")
+    met = same_join(met, men.select(*group, "event", F.col("start").alias("manifestation_start"), "mid_before"), [*group, "event", "manifestation_start"], "left")
     last = men.groupBy(*group, "event").agg(F.max_by(F.struct("start", "mid", "end"), "start").alias("l"))
-    met = met.join(last, [*group, "event"])
+    met = same_join(met, last, [*group, "event"])
     met = met.withColumn("average_distance", F.coalesce("average_distance", "distance"))
     p = probability(F.col("date"), F.col("average_distance"), F.col("step"), now)
     base = F.when(F.col("forward"), F.col("l.mid")).otherwise(F.col("mid_before"))
