@@ -6,12 +6,17 @@ replace all rows of older ones; rows that repeat within one seal stay.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograin.functions.grid import NANOS, div
+from tempograin.operators.chunks import same_join
 from tempograin.operators.reduce import in_range
 
 SERIES = ("aspect", "series_key")
@@ -31,7 +36,17 @@ def time_range(rows: DataFrame, start: int | None = None, end: int | None = None
 
 def value_range(rows: DataFrame, low: object, high: object) -> DataFrame:
     """Every stored row with a value in the inclusive band, whether or not a newer seal replaced it; order by seal_seq, row_seq."""
-    return rows.where(F.col("value").between(F.lit(low), F.lit(high)))
+    kind = rows.schema["value"].dataType
+
+    def at(x: object) -> Column:
+        if kind.typeName() != "decimal":
+            return F.lit(x)
+        exact = Decimal(str(x))
+        # Of the column's own type, where that loses nothing, a bound reaches the files' statistics.
+        fits = -exact.normalize().as_tuple().exponent <= kind.scale and (not exact or exact.adjusted() < kind.precision - kind.scale)
+        return F.lit(exact).cast(kind) if fits else F.lit(exact)
+
+    return rows.where(F.col("value").between(at(low), at(high)))
 
 
 def points(rows: DataFrame, instants: Sequence[int], group: Sequence[str] = SERIES) -> DataFrame:
@@ -47,7 +62,7 @@ def points(rows: DataFrame, instants: Sequence[int], group: Sequence[str] = SERI
     best = found.groupBy(*group, "ts").agg(F.max_by("value", F.struct("seal_seq", "row_seq")).alias("value"))
     series = rows.select(*group).distinct()
     every = series.join(F.broadcast(asked))  # the request is at most MOST_INSTANTS rows
-    return every.join(best, [*group, "ts"], "left").select(*group, "request", "ts", "value")
+    return same_join(every, best, [*group, "ts"], "left").select(*group, "request", "ts", "value")
 
 
 def point(rows: DataFrame, instant: int, group: Sequence[str] = SERIES) -> DataFrame:
@@ -81,6 +96,36 @@ def cursor_of(rows: DataFrame, order: Sequence[str] = ("ts", "row_seq")) -> tupl
     return (last[0], last[1]) if last else None
 
 
+def token_of(rows: DataFrame, selector: object, order: Sequence[str] = ("ts", "row_seq")) -> str | None:
+    """A cursor as text: the key of a page's last row, bound to that row's content and to the selection it is a page of."""
+    last = rows.orderBy(*[F.desc(c) for c in order]).select(*order, _print_of(rows).alias("print")).first()
+    return None if last is None else base64.urlsafe_b64encode(json.dumps([_selected(selector), last[0], last[1], last[2]]).encode()).decode()
+
+
+def page_after(rows: DataFrame, take: int, token: str | None, selector: object, order: Sequence[str] = ("ts", "row_seq")) -> DataFrame:
+    """The page behind a cursor; an error if it is of another selection or its row has changed since."""
+    if token is None:
+        return page(rows, take, order=order)
+    try:
+        of, ts, seq, mark = json.loads(base64.urlsafe_b64decode(token))
+    except ValueError:
+        raise ValueError("not a cursor") from None
+    if of != _selected(selector):
+        raise ValueError("the cursor belongs to another selection")
+    found = rows.where((F.col(order[0]) == F.lit(ts)) & (F.col(order[1]) == F.lit(seq))).select(_print_of(rows)).collect()
+    if mark not in [r[0] for r in found]:
+        raise ValueError("the cursor's row has changed")
+    return page(rows, take, after=(ts, seq), order=order)
+
+
+def _selected(selector: object) -> str:
+    return hashlib.sha256(json.dumps(selector, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def _print_of(rows: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c in rows.columns])
+
+
 def order_violations(rows: DataFrame, group: Sequence[str] = (*SERIES, "seal_seq")) -> DataFrame:
     """The first row of each segment whose instant is before its predecessor's: row_seq, previous, current."""
     w = Window.partitionBy(*group).orderBy("row_seq")

@@ -1,33 +1,47 @@
-"""A store of series on Parquet: declared aspects, idempotent ingest, reads and maintenance.
+"""A store of series on Parquet: declared aspects, atomic and idempotent ingest, reads and maintenance.
 
-Layout under the root: ``aspects`` and ``ledger`` (small tables, one folder an entry) and ``rows/aspect=…/part_day=…``.  Every ingest appends with a
-new ``seal_seq``; reads apply last-writer-wins, so late and repeated data need no order.  Maintenance writes a new generation beside the old one and
-then moves the pointer.
+Layout under the root::
+
+    aspects/<name>.json                                declarations
+    log/<aspect>/<number>.json                         commits, each created once and whole; a snapshot sums up those before it
+    data/aspect=…/attempt=…/part_day=…                 rows, a folder for each attempt to write
+
+Only the log says which attempts count: what a failed writer leaves is never read.  A commit takes the next number, and only one writer can create
+it; the loser folds in what came between and tries the next.  Its key and fingerprint stand in the commit itself, so a replay after any crash finds
+either all of it or nothing.  Reads apply last-writer-wins, so late and repeated data need no order.  Maintenance writes new attempts and commits that they
+replace old ones; files that no commit needs any more stay until ``vacuum``, so running readers never lose theirs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import os
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograin.functions.decimals import ENCODINGS, checked, encode
-from tempograin.functions.grid import NANOS, floor_div
+from tempograin.functions.decimals import ENCODINGS, checked, decode
+from tempograin.functions.grid import NANOS, floor_div, width
 from tempograin.functions.tags import select_series, series_key, tags_of
 from tempograin.operators import reads
-from tempograin.operators.interpolate import interpolate
+from tempograin.operators.interpolate import MOST_POINTS, interpolate
 from tempograin.operators.reduce import DEFAULT, downsample
 
-ROWS = "series_key string, ts long, value string, seal_seq long, row_seq long, aspect string, part_day long"
+#: Rows in files: newly ingested ones take their seal from the commit, rewritten ones keep their own.
+ROWS = "series_key string, ts long, value decimal(38,18), seal_seq long, row_seq long, attempt string, part_day long"
+#: Commits after which a snapshot sums them up, commits whose seals are a literal rather than a join, and knots of one stored reconstruction.
+SNAPSHOT, LITERAL, MOST_KNOTS = 100, 200, 1 << 22
 
 
 @dataclass(frozen=True)
 class Aspect:
-    """What an aspect declares, for good: encoding, tolerance, time unit, and the tag keys of an upsert."""
+    """What an aspect declares, for good: encoding, tolerance, time unit, the tag keys of an upsert, and a time to live in nanoseconds."""
 
     name: str
     encoding: str = "text"
@@ -35,6 +49,7 @@ class Aspect:
     tolerance: float = 0.0
     unit: str = "us"
     upsert_keys: tuple[str, ...] | None = None
+    ttl_nanos: int | None = None
 
     def __post_init__(self):
         if self.encoding not in ENCODINGS or self.unit not in NANOS:
@@ -49,23 +64,49 @@ class Receipt:
     series: list[str] = field(default_factory=list)
 
 
+class Conflict(RuntimeError):
+    """Another writer has replaced what this one worked on."""
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] = time.time_ns):
+        self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._local = self._path(self.root).toUri().getPath() if self._fs.getScheme() == "file" else None
 
     # Small files: one JSON text each.
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
-    def _put(self, name: str, value: dict, overwrite: bool = False) -> None:
-        out = self._fs.create(self._path(f"{self.root}/{name}"), overwrite)
+    def _put(self, name: str, value: object, overwrite: bool = False) -> bool:
+        """Write a file whole or not at all; False if there is one already and ``overwrite`` isn't said."""
+        tmp = f"{name.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(f"{self.root}/{tmp}"), False)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-
-    def _get(self, name: str) -> dict:
+        try:
+            if self._local and not overwrite:  # a link is made once, where a local rename would overwrite
+                os.link(f"{self._local}/{tmp}", f"{self._local}/{name}")
+            else:
+                jvm = self.spark.sparkContext._jvm
+                rename = jvm.org.apache.hadoop.fs.Options.Rename
+                options = self.spark.sparkContext._gateway.new_array(rename, 1)
+                options[0] = rename.OVERWRITE if overwrite else rename.NONE
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                context.rename(self._path(f"{self.root}/{tmp}"), self._path(f"{self.root}/{name}"), options)
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "FileAlreadyExistsException" not in str(e):
+                raise
+            return False
+        finally:
+            self._fs.delete(self._path(f"{self.root}/{tmp}"), False)
+        return True
+
+    def _get(self, name: str):
         stream = self._fs.open(self._path(f"{self.root}/{name}"))
         text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
@@ -73,21 +114,20 @@ class Store:
 
     def _list(self, name: str) -> list[str]:
         at = self._path(f"{self.root}/{name}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        found = (s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else ()
+        return sorted(n for n in found if n[0] != ".")
 
     # Catalog.
     def declare(self, aspect: Aspect) -> None:
         """Idempotent; a different declaration is refused unless it widens the encoding to text."""
         name = f"aspects/{aspect.name}.json"
-        if self._exists(name):
+        if self._exists(name) or not self._put(name, asdict(aspect)):
             old = self.aspect(aspect.name)
             if old == aspect:
                 return
             if asdict(old) | {"encoding": "text"} != asdict(aspect):
                 raise ValueError(f"{aspect.name} is declared otherwise: {old}")
             self._put(name, asdict(aspect), overwrite=True)
-            return
-        self._put(name, asdict(aspect))
 
     def aspect(self, name: str) -> Aspect:
         if not self._exists(f"aspects/{name}.json"):
@@ -98,76 +138,170 @@ class Store:
     def aspects(self) -> list[str]:
         return [n.removesuffix(".json") for n in self._list("aspects")]
 
+    def catalog(self) -> DataFrame:
+        """aspect, encoding, unit, commits, rows ingested, earliest and latest instant; one row an aspect."""
+        out = []
+        for a in map(self.aspect, self.aspects()):
+            sealed = [c for c in self._log(a.name) if c["kind"] != "rewrite" and c["rows"]]
+            out.append((a.name, a.encoding, a.unit, len(sealed), sum(c["rows"] for c in sealed), min((c["min_ts"] for c in sealed), default=None), max((c["max_ts"] for c in sealed), default=None)))
+        return self.spark.createDataFrame(out, "aspect string, encoding string, unit string, commits long, rows long, earliest long, latest long")
+
+    # The log.
+    def _log(self, aspect: str) -> list[dict]:
+        """All commits in order.  Those before the latest snapshot come from it in one read, so at most SNAPSHOT files and a few are opened."""
+        names = self._list(f"log/{aspect}")
+        whole = max((n for n in names if n.startswith("snapshot-")), default=None)
+        log = self._get(f"log/{aspect}/{whole}") if whole else []
+        log += [self._get(f"log/{aspect}/{n}") for n in names if not n.startswith("snapshot-") and int(n.removesuffix(".json")) >= len(log)]
+        return log
+
+    def _commit(self, aspect: str, made: Callable[[list[dict]], dict | None], log: list[dict] | None = None) -> tuple[dict, bool]:
+        """Append what ``made`` makes of the log, by compare and create; what it finds there already (it gives None and the entry) isn't appended."""
+        while True:
+            log = self._log(aspect) if log is None else log
+            entry = made(log)
+            if "number" in entry:
+                return entry, False
+            entry = entry | {"number": len(log)}
+            if self._put(f"log/{aspect}/{len(log):012d}.json", entry):
+                if (len(log) + 1) % SNAPSHOT == 0:
+                    self._put(f"log/{aspect}/snapshot-{len(log) + 1:012d}.json", [*log, entry])
+                return entry, True
+            log = None
+
+    @staticmethod
+    def _next_seal(log: list[dict]) -> int:
+        return sum(c["kind"] != "rewrite" for c in log)
+
+    @staticmethod
+    def _live(log: list[dict]) -> tuple[dict[str, int | None], list[tuple[int, int | None, int | None]]]:
+        """Attempts that count, with the seal of those that take it from their commit, and the ranges (seal, start, end) cleared since their last rewrite."""
+        live: dict[str, int | None] = {}
+        clears: list[tuple[int, int | None, int | None]] = []
+        for c in log:
+            if c["kind"] == "rewrite":
+                for a in c["replaces"]:
+                    live.pop(a, None)
+                clears = [x for x in clears if x[0] >= c["seals"]] if c["whole"] else clears
+            if c["kind"] == "replace":
+                clears.append((c["seal_seq"], c["start"], c["end"]))
+            if c["attempt"]:
+                live[c["attempt"]] = c.get("seal_seq")
+        return live, clears
+
+    def _data(self, aspect: str, attempt: str = "") -> str:
+        return f"{self.root}/data/aspect={aspect}" + (f"/attempt={attempt}" if attempt else "")
+
     # Rows.
-    def _generation(self, aspect: str) -> int:
-        return self._get(f"current/{aspect}.json")["generation"] if self._exists(f"current/{aspect}.json") else 0
-
-    def _folder(self, aspect: str, generation: int | None = None) -> str:
-        return f"{self.root}/rows/aspect={aspect}/generation={self._generation(aspect) if generation is None else generation}"
-
-    def rows(self, aspect: str) -> DataFrame:
-        """Stored rows with the value as a decimal: aspect, series_key, ts, value, seal_seq, row_seq."""
-        folder = self._folder(aspect)
-        kind = "series_key string, ts long, value string, seal_seq long, row_seq long"
-        if not self._fs.exists(self._path(folder)):
-            raw = self.spark.createDataFrame([], kind)
+    def rows(self, aspect: str, log: list[dict] | None = None, only: Sequence[str] | None = None) -> DataFrame:
+        """Stored rows: aspect, series_key, ts, value (a decimal), seal_seq, row_seq, part_day."""
+        live, clears = self._live(self._log(aspect) if log is None else log)
+        live = live if only is None else {a: live[a] for a in only}
+        if not live:
+            raw = self.spark.createDataFrame([], ROWS)
         else:
-            raw = self.spark.read.schema(f"{kind}, part_day long").parquet(folder)
-        return raw.select(F.lit(aspect).alias("aspect"), "series_key", "ts", F.col("value").cast("decimal(38,18)").alias("value"), "seal_seq", "row_seq", *[c for c in raw.columns if c == "part_day"])
+            raw = self.spark.read.schema(ROWS).option("basePath", self._data(aspect)).parquet(*[self._data(aspect, a) for a in live])
+        sealed = [(a, s) for a, s in live.items() if s is not None]
+        if len(sealed) > LITERAL:
+            small = self.spark.createDataFrame(sealed, "attempt string, _seal long")
+            raw = raw.join(F.broadcast(small) if len(sealed) < 100_000 else small, "attempt", "left")
+            raw = raw.withColumn("seal_seq", F.coalesce("seal_seq", "_seal")).drop("_seal")
+        elif sealed:
+            seals = F.create_map(*[F.lit(x) for a in sealed for x in a])
+            raw = raw.withColumn("seal_seq", F.coalesce("seal_seq", F.element_at(seals, F.col("attempt")).cast("long")))
+        for seal, start, end in clears:
+            raw = raw.where(~((F.col("seal_seq") < seal) & _within(start, end)))
+        return raw.select(F.lit(aspect).alias("aspect"), "series_key", "ts", "value", "seal_seq", "row_seq", "part_day")
+
+    def _alive(self, aspect: Aspect, rows: DataFrame) -> DataFrame:
+        """Without rows that the aspect's time to live hides now."""
+        if aspect.ttl_nanos is None:
+            return rows
+        return reads.live(rows, self.clock() // NANOS[aspect.unit], aspect.ttl_nanos, aspect.unit)
 
     def _pruned(self, aspect: str, start: int | None, end: int | None) -> DataFrame:
-        """Rows of a range; the days are partitions, so others aren't listed."""
-        rows, day = self.rows(aspect), 86_400 * 10**9 // NANOS[self.aspect(aspect).unit]
-        if "part_day" in rows.columns:
-            if start is not None:
-                rows = rows.where(F.col("part_day") >= F.lit(start // day))
-            if end is not None:
-                rows = rows.where(F.col("part_day") <= F.lit(end // day))
-        return rows.drop("part_day")
-
-    def ingest(self, aspect: str, points: DataFrame, key: str | None = None, require_sorted: bool = False) -> Receipt:
-        """Append ``points`` (ts, value[, tags][, seq]) as a new seal.
-
-        With a ``key`` a repeat of the same points is answered from the ledger, and of others refused.  Values must fit the declared encoding within its
-        tolerance; with declared upsert keys a tag outside them is refused.
-        """
+        """Rows of a range that are alive; the days are partitions, so others aren't listed."""
         a = self.aspect(aspect)
+        rows, day = self.rows(aspect), 86_400 * 10**9 // NANOS[a.unit]
+        if a.ttl_nanos is not None:
+            oldest = reads.expiry_cutoff(self.clock() // NANOS[a.unit], a.ttl_nanos, a.unit)
+            start = oldest if start is None else max(start, oldest)
+        if start is not None:
+            rows = rows.where(F.col("part_day") >= F.lit(start // day))
+        if end is not None:
+            rows = rows.where(F.col("part_day") <= F.lit(end // day))
+        return self._alive(a, rows).drop("part_day")
+
+    def _write(self, aspect: str, attempt: str, rows: DataFrame, most: int | None = None) -> None:
+        """Files sorted by day, series and instant, of even size however the rows fall: a day with most rows is many tasks."""
+        order = ("part_day", "series_key", "ts", "row_seq")
+        out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write
+        (out.option("maxRecordsPerFile", most) if most else out).partitionBy("part_day").parquet(self._data(aspect, attempt))
+
+    def _prepared(self, a: Aspect, points: DataFrame) -> DataFrame:
+        """Points as rows: checked tags, and values that the encoding holds, as exact decimals."""
         df = points.withColumn("tags", F.create_map().cast("map<string,string>")) if "tags" not in points.columns else points
         df = df.withColumn("seq", F.monotonically_increasing_id()) if "seq" not in df.columns else df
         if a.upsert_keys is not None:
             odd = F.exists(F.map_keys("tags"), lambda k: ~k.isin(*a.upsert_keys)) if a.upsert_keys else F.size("tags") > 0
             df = df.withColumn("tags", F.when(F.coalesce(odd, F.lit(False)), F.raise_error(F.lit("a tag outside the upsert keys"))).otherwise(F.col("tags")))
-        value = F.col("value").cast("string") if a.encoding == "text" else checked(F.col("value"), a.encoding, a.scale, a.tolerance)
-        if a.encoding in ("scaled_i64",):
-            value = encode(checked(F.col("value"), "scaled_i128", a.scale, a.tolerance), "scaled_i128", a.scale)
-        made = df.select(series_key(F.col("tags")).alias("series_key"), "ts", value.cast("string").alias("value"), F.col("seq").alias("row_seq"))
+        value = F.col("value").cast("string") if a.encoding == "text" else decode(checked(F.col("value"), a.encoding, a.scale, a.tolerance), a.encoding, a.scale)
+        day = 86_400 * 10**9 // NANOS[a.unit]
+        return df.select(series_key(F.col("tags")).alias("series_key"), F.col("ts").cast("long").alias("ts"), value.cast("decimal(38,18)").alias("value"), F.col("seq").cast("long").alias("row_seq"), floor_div(F.col("ts"), day).alias("part_day"))
+
+    @staticmethod
+    def _mark(made: DataFrame, ordered: bool) -> tuple:
+        """Rows, their fingerprint, and the range of their instants."""
+        hashed = F.xxhash64("series_key", "ts", "value")
+        m = made.agg(F.count(F.lit(1)), F.bit_xor(hashed), F.sum(F.pmod(hashed, F.lit(1 << 31))), F.bit_xor(F.xxhash64(hashed, "row_seq")) if ordered else F.lit(0), F.min("ts"), F.max("ts")).first()
+        return m[0], hashlib.sha256(repr(tuple(map(str, m))).encode()).hexdigest(), m[4], m[5]
+
+    def ingest(self, aspect: str, points: DataFrame, key: str | None = None, require_sorted: bool = False, most_rows_per_file: int | None = None, replacing: tuple[int | None, int | None] | None = None) -> Receipt:
+        """Append ``points`` (ts, value[, tags][, seq]) as a new seal, all or nothing.
+
+        With a ``key`` a repeat of the same points is answered from the log, and of others refused.  Values must fit the declared encoding within its
+        tolerance; with declared upsert keys a tag outside them is refused.  ``replacing`` is a range whose older rows go with the same commit.
+        """
+        a = self.aspect(aspect)
+        made, log = self._prepared(a, points), self._log(aspect)
+        ordered = "seq" in points.columns
         if require_sorted:
             bad = reads.order_violations(made.withColumn("seal_seq", F.lit(0)), ["series_key", "seal_seq"]).first()
             if bad:
                 raise ValueError(f"row {bad['row_seq']} goes back from {bad['previous']} to {bad['current']}")
-        hashed = F.xxhash64("series_key", "ts", "value")
-        mark = made.agg(F.count(F.lit(1)), F.bit_xor(hashed), F.bit_xor(F.xxhash64(hashed, "row_seq")) if "seq" in points.columns else F.lit(0), F.min("ts"), F.max("ts")).first()
-        print_of = hashlib.sha256(repr(tuple(map(str, mark))).encode()).hexdigest()
-        if key is not None:
-            ledger = f"ledger/{aspect}/{hashlib.sha256(key.encode()).hexdigest()}.json"
-            if self._exists(ledger):
-                was = self._get(ledger)
-                if was["fingerprint"] != print_of:
-                    raise ValueError(f"key {key!r} was used for other points")
-                return Receipt(was["seal_seq"], was["rows"], replayed=True)
-        seal = len(self._list(f"commits/{aspect}"))
-        day = 86_400 * 10**9 // NANOS[a.unit]
-        spread = made.withColumn("seal_seq", F.lit(seal).cast("long")).withColumn("part_day", floor_div(F.col("ts"), day))
-        spread.repartition("part_day").sortWithinPartitions("part_day", "series_key", "ts", "row_seq").write.mode("append").partitionBy("part_day").parquet(self._folder(aspect))
-        self._put(f"commits/{aspect}/{seal:012d}.json", {"seal_seq": seal, "rows": mark[0], "min_ts": mark[3], "max_ts": mark[4]})
-        if key is not None:
-            self._put(ledger, {"fingerprint": print_of, "seal_seq": seal, "rows": mark[0]})
-        return Receipt(seal, mark[0])
+        if known := self._keyed(log, key):
+            return self._replayed(known, key, self._mark(made, ordered)[1])
+        attempt = uuid.uuid4().hex
+        self._write(aspect, attempt, made, most_rows_per_file)
+        written = self.spark.read.schema(ROWS).option("basePath", self._data(aspect)).parquet(self._data(aspect, attempt))
+        rows, mark, lo, hi = self._mark(written, ordered)
+        start, end = replacing or (None, None)
+
+        def entry(log: list[dict]) -> dict:
+            span = {"start": start, "end": end} if replacing else {}
+            return self._keyed(log, key) or {"kind": "replace" if replacing else "ingest", "seal_seq": self._next_seal(log), "attempt": attempt, "rows": rows, "min_ts": lo, "max_ts": hi, "key": key, "fingerprint": mark, **span}
+
+        done, mine = self._commit(aspect, entry, log)
+        return Receipt(done["seal_seq"], rows) if mine else self._replayed(done, key, mark)
+
+    @staticmethod
+    def _keyed(log: list[dict], key: str | None) -> dict | None:
+        return next((c for c in log if c.get("key") == key), None) if key is not None else None
+
+    @staticmethod
+    def _replayed(known: dict, key: str | None, mark: str) -> Receipt:
+        if known["fingerprint"] != mark:
+            raise ValueError(f"key {key!r} was used for other points")
+        return Receipt(known["seal_seq"], known["rows"], replayed=True)
 
     def changes_since(self, aspect: str, seal_seq: int = -1) -> DataFrame:
-        """The change feed: seal_seq, min_ts, max_ts, rows of commits after ``seal_seq``."""
-        found = [self._get(f"commits/{aspect}/{n}") for n in self._list(f"commits/{aspect}") if int(n.removesuffix(".json")) > seal_seq]
-        return self.spark.createDataFrame([(c["seal_seq"], c["min_ts"], c["max_ts"], c["rows"]) for c in found], "seal_seq long, min_ts long, max_ts long, rows long")
+        """The change feed: seal_seq, min_ts, max_ts, rows of commits after ``seal_seq``; a replaced range counts whole."""
+        found = []
+        for c in self._log(aspect):
+            if c["kind"] != "rewrite" and c["seal_seq"] > seal_seq:
+                ends = [x for x in (c["min_ts"], c.get("start")) if x is not None], [x for x in (c["max_ts"], c.get("end")) if x is not None]
+                found.append((c["seal_seq"], min(ends[0], default=None), max(ends[1], default=None), c["rows"]))
+        return self.spark.createDataFrame(found, "seal_seq long, min_ts long, max_ts long, rows long")
 
     def ack_changes(self, aspect: str, through: int) -> None:
         """Remember that changes up to a seal were worked on; never goes back."""
@@ -209,65 +343,135 @@ class Store:
         return reads.points(self.select(rows, tags), instants)
 
     def read_values(self, aspect: str, low: object, high: object, tags: dict[str, str | None] | None = None) -> DataFrame:
-        return reads.value_range(self.select(self.rows(aspect).drop("part_day"), tags), low, high)
+        """Rows of a value band; the bounds reach the files' statistics."""
+        rows = self._alive(self.aspect(aspect), self.rows(aspect)).drop("part_day")
+        return reads.value_range(self.select(rows, tags), *[Decimal(str(x)) for x in (low, high)])
+
+    def page(self, aspect: str, take: int, token: str | None = None, start: int | None = None, end: int | None = None, tags: dict[str, str | None] | None = None) -> tuple[list, str | None]:
+        """The next ``take`` rows of one series by instant, and the cursor behind them (None at the end); a cursor of other arguments is refused."""
+        rows = reads.only_series(self.read(aspect, start, end, tags)).select("series_key", "ts", "value", "seal_seq", "row_seq")
+        selector = [aspect, start, end, tags]
+        found = reads.page_after(rows, take, token, selector)
+        out = found.collect()  # a page
+        return out, reads.token_of(found, selector) if len(out) == take else None
 
     def downsample(self, aspect: str, w: str, aggs: Sequence[str] = DEFAULT, start: int | None = None, end: int | None = None, tags: dict[str, str | None] | None = None) -> DataFrame:
         rows = self.read(aspect, start, end, tags).withColumnRenamed("row_seq", "seq")
         return downsample(rows, w, aggs, ["series_key"], start, end, self.aspect(aspect).unit)
 
-    def interpolate(self, aspect: str, step: str, start: int, end: int, method: str | int = "cubic", margin: int | None = None, tags: dict[str, str | None] | None = None) -> DataFrame:
+    def interpolate(self, aspect: str, step: str, start: int, end: int, method: str | int = "cubic", margin: int | None = None, tags: dict[str, str | None] | None = None, most: int | None = MOST_KNOTS) -> DataFrame:
+        """The reconstructed series from knots within ``margin`` (by default the range's length) of the range; over ``most`` rows are refused, None allows any.
+
+        Without a sample there the result is an error, as nothing can be said of the range.
+        """
         m = end - start if margin is None else margin
         rows = self.read(aspect, start - m, end + m, tags).withColumnRenamed("row_seq", "seq")
+        if most is not None:
+            n = rows.where("value is not null").limit(most + 1).count()
+            if not n:
+                raise LookupError(f"no sample of {aspect!r} between {start - m} and {end + m}")
+            if n > most:
+                raise ValueError(f"more than {most} rows to reconstruct from")
         return interpolate(rows, step, method, ["series_key"], start, end, m, unit=self.aspect(aspect).unit)
 
+    def interpolated_parts(self, aspect: str, step: str, start: int, end: int, points: int = MOST_POINTS, **how):
+        """The grid of :meth:`interpolate` as successive frames of at most ``points`` instants each, for grids of any length."""
+        ticks = width(step).ticks(self.aspect(aspect).unit)
+        margin = how.pop("margin", None)
+        margin = end - start if margin is None else margin
+        while start <= end:
+            last = min(end, start + (points - 1) * ticks)
+            yield self.interpolate(aspect, step, start, last, margin=margin, **how)
+            start = last + ticks
+
     def stats(self, aspect: str) -> DataFrame:
+        """By series: segments, how many are unsorted or overlap, rows, nulls, and the first and last values."""
         return reads.segment_stats(self.rows(aspect)).join(reads.bounds(self.rows(aspect)).drop("rows"), list(reads.SERIES))
 
+    def size(self, aspect: str) -> dict[str, float]:
+        """Rows and bytes that count, and bytes a row."""
+        log = self._log(aspect)
+        bytes_ = sum(self._fs.getContentSummary(self._path(self._data(aspect, a))).getLength() for a in self._live(log)[0])
+        rows = self.rows(aspect, log).count()
+        return {"rows": rows, "bytes": bytes_, "bytes_per_row": bytes_ / rows if rows else 0.0}
+
     # Maintenance: answers don't change, save for what a purge removes.
-    def _rewrite(self, aspect: str, rows: DataFrame, files_of: int | None = None) -> None:
-        new, day = self._generation(aspect) + 1, 86_400 * 10**9 // NANOS[self.aspect(aspect).unit]
-        out = rows.select("series_key", "ts", F.col("value").cast("string").alias("value"), "seal_seq", "row_seq", floor_div(F.col("ts"), day).alias("part_day"))
-        writer = out.repartition("part_day").sortWithinPartitions("part_day", "series_key", "ts", "seal_seq", "row_seq").write
-        (writer.option("maxRecordsPerFile", files_of) if files_of else writer).partitionBy("part_day").parquet(self._folder(aspect, new))
-        old = self._folder(aspect)
-        self._put(f"current/{aspect}.json", {"generation": new}, overwrite=True)
-        self._fs.delete(self._path(old), True)
-
-    def reconcile(self, aspect: str) -> None:
-        """Sort out-of-order segments."""
-        self._rewrite(aspect, self.rows(aspect))
-
-    def reconcile_if(self, aspect: str, most_unsorted: int) -> bool:
+    def _rewrite(self, aspect: str, change: Callable[[DataFrame], DataFrame], most: int | None = None, only: Callable[[dict], bool] | None = None) -> None:
+        """Rows of the live attempts, or of those whose commits ``only`` picks, through ``change`` into one new attempt that replaces them.
+
+        What is ingested meanwhile stays; if another writer replaced the same attempts first this one is in :class:`Conflict` and nothing changed.
+        """
+        log = self._log(aspect)
+        live = self._live(log)[0]
+        picked = [c["attempt"] for c in log if c["attempt"] in live and (only is None or only(c))]
+        if not picked:
+            return
+        attempt, day = uuid.uuid4().hex, 86_400 * 10**9 // NANOS[self.aspect(aspect).unit]
+        rows = change(self.rows(aspect, log, picked).drop("part_day"))
+        self._write(aspect, attempt, rows.select("series_key", "ts", "value", "seal_seq", "row_seq", floor_div(F.col("ts"), day).alias("part_day")), most)
+        kept = [c for c in log if c["attempt"] in picked]
+        span = {"min_ts": min((c["min_ts"] for c in kept if c["min_ts"] is not None), default=None), "max_ts": max((c["max_ts"] for c in kept if c["max_ts"] is not None), default=None), "rows": sum(c["rows"] for c in kept)}
+
+        def entry(now: list[dict]) -> dict:
+            if not set(picked) <= set(self._live(now)[0]):
+                raise Conflict(f"{aspect!r} was rewritten meanwhile")
+            return {"kind": "rewrite", "attempt": attempt, "replaces": picked, "seals": self._next_seal(log), "whole": only is None, **span}
+
+        self._commit(aspect, entry, log)
+
+    def reconcile(self, aspect: str, cold_before: int | None = None) -> None:
+        """Sort out-of-order segments; with ``cold_before`` only those that end before that instant, while hot ones stay as they are."""
+        self._rewrite(aspect, lambda rows: rows, only=None if cold_before is None else lambda c: c["max_ts"] is not None and c["max_ts"] < cold_before)
+
+    def reconcile_if(self, aspect: str, most_unsorted: int, cold_before: int | None = None) -> bool:
         n = reads.segment_stats(self.rows(aspect)).agg(F.sum("unsorted_segments")).first()[0] or 0
         if n > most_unsorted:
-            self.reconcile(aspect)
+            self.reconcile(aspect, cold_before)
         return n > most_unsorted
 
+    def reconcile_all(self, most_unsorted: int = 0, cold_before: int | None = None) -> dict[str, bool]:
+        """:meth:`reconcile_if` for every aspect: which were rewritten."""
+        return {a: self.reconcile_if(a, most_unsorted, cold_before) for a in self.aspects()}
+
     def merge_overlaps(self, aspect: str) -> None:
         """Fold segments that overlap in time, newest wins; points keep being found behind newer nulls."""
-        rows = self.rows(aspect)
-        self._rewrite(aspect, _foldable(rows))
+        self._rewrite(aspect, _foldable)
 
     def squash(self, aspect: str, target_rows: int | None = None) -> None:
         """All segments into one a day, or into files of about ``target_rows``."""
-        self._rewrite(aspect, _foldable(self.rows(aspect)), target_rows)
+        self._rewrite(aspect, _foldable, target_rows)
 
-    def purge_expired(self, aspect: str, now: int, ttl_nanos: int) -> None:
-        self._rewrite(aspect, reads.live(self.rows(aspect), now, ttl_nanos, self.aspect(aspect).unit))
+    def purge_expired(self, aspect: str, now: int | None = None, ttl_nanos: int | None = None) -> None:
+        """Remove for good what the time to live (the aspect's unless said) hides at ``now`` (in the aspect's unit; by default the clock's)."""
+        a = self.aspect(aspect)
+        ttl, at = a.ttl_nanos if ttl_nanos is None else ttl_nanos, self.clock() // NANOS[a.unit] if now is None else now
+        if ttl is not None:
+            self._rewrite(aspect, lambda rows: reads.live(rows, at, ttl, a.unit))
+
+    def vacuum(self, aspect: str, older_than_ms: int = 7 * 86_400_000) -> int:
+        """Delete attempts that no commit needs and that were last written so long ago; how many."""
+        live, gone = self._live(self._log(aspect))[0], 0
+        for name in self._list(f"data/aspect={aspect}"):
+            at = self._path(f"{self._data(aspect)}/{name}")
+            if name.removeprefix("attempt=") not in live and self._fs.getFileStatus(at).getModificationTime() < time.time() * 1000 - older_than_ms:
+                gone += bool(self._fs.delete(at, True))
+        return gone
 
     def clear(self, aspect: str, start: int | None = None, end: int | None = None) -> None:
-        """Remove a range's rows."""
-        inside = F.lit(True)
-        if start is not None:
-            inside = inside & (F.col("ts") >= F.lit(start))
-        if end is not None:
-            inside = inside & (F.col("ts") <= F.lit(end))
-        self._rewrite(aspect, self.rows(aspect).where(~inside))
+        """Remove a range's rows, by one commit; the files shrink at the next rewrite."""
+        entry = lambda log: {"kind": "replace", "seal_seq": self._next_seal(log), "attempt": None, "rows": 0, "min_ts": None, "max_ts": None, "start": start, "end": end}
+        self._commit(aspect, entry)
+        if len(self._live(self._log(aspect))[1]) > SNAPSHOT:  # so that reads don't filter by ever more ranges
+            self.reconcile(aspect)
+
+    def replace(self, aspect: str, points: DataFrame, start: int, end: int, key: str | None = None) -> Receipt:
+        """A range's rows replaced by others in one commit: readers see the old ones or the new ones."""
+        return self.ingest(aspect, points, key, replacing=(start, end))
+
 
-    def replace(self, aspect: str, points: DataFrame, start: int, end: int) -> Receipt:
-        """A range's rows replaced by others."""
-        self.clear(aspect, start, end)
-        return self.ingest(aspect, points)
+def _within(start: int | None, end: int | None) -> Column:
+    """Whether ts is in an inclusive range with open ends."""
+    return (F.col("ts") >= F.lit(-(1 << 63) if start is None else start)) & (F.col("ts") <= F.lit((1 << 63) - 1 if end is None else end))
 
 
 def _foldable(rows: DataFrame) -> DataFrame:
