@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograin.functions.grid import Width, bucket, bucket_index, bucket_start, div, floor_div, nests, width
+from tempograin.operators.chunks import same_join
 
 STREAMING = ("min", "max", "sum", "avg", "first", "last")
 PERCENTILES = {"p50": 50, "p90": 90, "p95": 95, "p99": 99}
@@ -65,6 +66,8 @@ def downsample(df: DataFrame, w: Width | str, aggs: Sequence[str] = DEFAULT, gro
     if start is not None and end is not None and (end - start) // max(1, w.ticks(unit)) > MOST_BUCKETS:
         raise ValueError(f"more than {MOST_BUCKETS} buckets")
     sketched = [a for a in asked if a in SKETCHES]
+    if sketched and all(a in (*STREAMING, *SKETCHES) for a in asked):  # one pass over the rows gives all of these
+        return finish(partials(df, w, group, start, end, unit, arrival, ts, value, sketches=True), w, asked, group, unit)
     rows = in_range(df.where(F.col(value).isNotNull()), start, end, ts).withColumn("bucket", bucket(F.col(ts), w, unit))
     keys = [*group, "bucket"]
     v, at = F.col(value), arrival_key(F.col(ts), F.col(arrival)) if {"first", "last"} & set(asked) else None
@@ -99,7 +102,7 @@ def downsample(df: DataFrame, w: Width | str, aggs: Sequence[str] = DEFAULT, gro
         from tempograin.operators.sketch import sketch_quantiles
 
         quantiles = sketch_quantiles(rows, keys, {a: SKETCHES[a] for a in sketched}, value=value)
-        result = result.join(quantiles, keys)
+        result = same_join(result, quantiles, keys)
     return result.select(*keys, "count", *asked)
 
 
@@ -107,24 +110,42 @@ def _unknown(token: str) -> str:
     raise ValueError(f"unknown aggregation {token!r}")
 
 
-def partials(df: DataFrame, w: Width | str, group: Sequence[str] = (), start: int | None = None, end: int | None = None, unit: str = "us", arrival: str = "seq", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Mergeable state per bucket: count, sum, min, max, first and last with the keys that order them.  The index is kept, so that it can be coarsened."""
+#: Columns of a state that is kept for each sketch bin of a bucket rather than for the bucket.
+BIN = ("sign", "bin")
+
+
+def partials(df: DataFrame, w: Width | str, group: Sequence[str] = (), start: int | None = None, end: int | None = None, unit: str = "us", arrival: str = "seq", ts: str = "ts", value: str = "value", sketches: bool = False) -> DataFrame:
+    """Mergeable state per bucket: count, sum, min, max, first and last with the keys that order them.  The index is kept, so that it can be coarsened.
+
+    With ``sketches`` a bucket has a state for each bin of its quantile sketch (columns sign and bin), which merge and coarsen alike.
+    """
+    from tempograin.operators.sketch import bin_of
+
     rows = in_range(df.where(F.col(value).isNotNull()), start, end, ts).withColumn("idx", bucket_index(F.col(ts), w, unit))
+    bins = bin_of(F.col(value)) if sketches else ()
     at = arrival_key(F.col(ts), F.col(arrival))
-    return rows.groupBy(*group, "idx").agg(
+    return rows.groupBy(*group, "idx", *[x.alias(n) for n, x in zip(BIN, bins, strict=False)]).agg(
         F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.min(at).alias("first_key"), F.min_by(value, at).alias("first"), F.max(at).alias("last_key"), F.max_by(value, at).alias("last"),
     )
 
 
-def merge(parts: DataFrame, group: Sequence[str] = (), index: Column | None = None) -> DataFrame:
-    """Combine partial states that share a bucket, in any order; ``index`` may send several buckets to one."""
-    kept = parts if index is None else parts.withColumn("idx", index)
+def _bins(parts: DataFrame) -> list[str]:
+    return [c for c in BIN if c in parts.columns]
+
+
+def _merged(parts: DataFrame) -> list[Column]:
     kind = parts.schema["sum"].dataType.simpleString()
-    return kept.groupBy(*group, "idx").agg(
+    return [
         F.sum("count").alias("count"), F.sum("sum").cast(kind).alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"),
         F.min("first_key").alias("first_key"), F.min_by("first", "first_key").alias("first"), F.max("last_key").alias("last_key"), F.max_by("last", "last_key").alias("last"),
-    )
+    ]
+
+
+def merge(parts: DataFrame, group: Sequence[str] = (), index: Column | None = None) -> DataFrame:
+    """Combine partial states that share a bucket (and bin), in any order; ``index`` may send several buckets to one."""
+    kept = parts if index is None else parts.withColumn("idx", index)
+    return kept.groupBy(*group, "idx", *_bins(parts)).agg(*_merged(parts))
 
 
 def coarsen(parts: DataFrame, n: int, group: Sequence[str] = ()) -> DataFrame:
@@ -144,9 +165,16 @@ def rebucket(parts: DataFrame, source: Width | str, target: Width | str, group:
 
 
 def finish(parts: DataFrame, w: Width | str, aggs: Sequence[str] = DEFAULT, group: Sequence[str] = (), unit: str = "us") -> DataFrame:
-    """Partial states as the rows that :func:`downsample` gives; only streaming aggregations can come out."""
+    """Partial states as the rows that :func:`downsample` gives; sketches come out if there are bins, time-weighted averages and exact percentiles never."""
+    from tempograin.operators.sketch import MOST_BINS, binned_quantiles, value_of_bin
+
     made = {"min": F.col("min"), "max": F.col("max"), "sum": F.col("sum"), "avg": _quotient(F.col("sum"), F.col("count")), "first": F.col("first"), "last": F.col("last")}
     asked = [a for a in (aggregation(t) or _unknown(t) for t in aggs) if a != "count"]
-    if bad := [a for a in asked if a not in made]:
+    binned = bool(_bins(parts))
+    if bad := [a for a in asked if a not in made and not (binned and a in SKETCHES)]:
         raise ValueError(f"partials can't give {bad}")
+    if binned:
+        ran, found = binned_quantiles(parts, [*group, "idx"], {a: SKETCHES[a] for a in asked if a in SKETCHES}, MOST_BINS)
+        parts = ran.groupBy(*group, "idx").agg(*_merged(parts), *[x.alias(f"_{a}") for a, x in found.items()])
+        made |= {a: value_of_bin(F.col(f"_{a}")) for a in found}
     return parts.select(*group, bucket_start(F.col("idx"), w, unit).alias("bucket"), "count", *[made[a].alias(a) for a in asked])

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempograin.operators.chunks import same_join
+
 ALPHA, MOST_BINS = 0.01, 2048
 #: Uniform collapses that are tried before giving up on a bound.
 COLLAPSES = 12
@@ -21,11 +23,35 @@ def gamma(alpha: float = ALPHA) -> float:
     return (1 + alpha) / (1 - alpha)
 
 
+def bin_of(value: Column, alpha: float = ALPHA) -> tuple[Column, Column]:
+    """Sign and bin of a value."""
+    v = value.cast("double")
+    return F.signum(v).cast("int"), F.when(v == 0, F.lit(0)).otherwise(F.ceil(F.log(F.abs(v)) / F.lit(math.log(gamma(alpha))))).cast("long")
+
+
 def bins(df: DataFrame, keys: Sequence[str], value: str = "value", alpha: float = ALPHA) -> DataFrame:
     """keys, sign, idx, n: the sketch of each group."""
-    v = F.col(value).cast("double")
-    idx = F.when(v == 0, F.lit(0)).otherwise(F.ceil(F.log(F.abs(v)) / F.lit(math.log(gamma(alpha))))).cast("long")
-    return df.where(v.isNotNull()).select(*keys, F.signum(v).cast("int").alias("sign"), idx.alias("idx")).groupBy(*keys, "sign", "idx").agg(F.count(F.lit(1)).alias("n"))
+    sign, idx = bin_of(F.col(value), alpha)
+    return df.where(F.col(value).cast("double").isNotNull()).select(*keys, sign.alias("sign"), idx.alias("idx")).groupBy(*keys, "sign", "idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+def binned_quantiles(parts: DataFrame, keys: Sequence[str], quantiles: dict[str, float], most: int) -> tuple[DataFrame, dict[str, Column]]:
+    """``parts`` (keys, sign, bin, count), and for each quantile what an aggregation by ``keys`` makes of them: the place of its bin.
+
+    Beyond ``most`` bins a sign those of the smallest magnitudes count as the lowest that stays.
+    """
+    part, sign = Window.partitionBy(*keys), Window.partitionBy(*keys, "sign")
+    ran = parts.withColumn("_r", F.row_number().over(sign.orderBy(F.desc("bin"))))
+    ran = ran.withColumn("_b", F.greatest("bin", F.max(F.when(F.col("_r") == most, F.col("bin"))).over(sign)))
+    ran = ran.withColumn("_o", F.struct("sign", (F.col("sign") * F.col("_b")).alias("o")))
+    # Bins that share a place are peers in this order, so each counts all of them.
+    ran = ran.withColumn("_upto", F.sum("count").over(part.orderBy("_o"))).withColumn("_total", F.sum("count").over(part))
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_total")))
+    return ran, {a: F.min(F.when(F.col("_upto") >= rank(q), F.col("_o"))) for a, q in quantiles.items()}
+
+
+def value_of_bin(place: Column, alpha: float = ALPHA) -> Column:
+    return representative(place["sign"], place["sign"] * place["o"], gamma(alpha))
 
 
 def merge_bins(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,7 +99,7 @@ def uniform_quantiles(df: DataFrame, keys: Sequence[str], quantiles: dict[str, f
     folded = lambda k: F.ceil(F.col("idx") / F.lit(float(1 << k))).cast("long")
     sizes = made.groupBy(*keys).agg(*[F.countDistinct(F.when(F.col("sign") != 0, F.struct("sign", folded(k)))).alias(f"_{k}") for k in range(COLLAPSES + 1)])
     times = F.coalesce(*[F.when(F.col(f"_{k}") <= most, F.lit(k)) for k in range(COLLAPSES + 1)], F.lit(COLLAPSES))
-    made = made.join(sizes.select(*keys, times.alias("collapses")), list(keys))
+    made = same_join(made, sizes.select(*keys, times.alias("collapses")), keys)
     made = merge_bins(made.withColumn("idx", F.ceil(F.col("idx") / F.pow(F.lit(2.0), F.col("collapses"))).cast("long")), [*keys, "collapses"])
     found = quantile_bins(made, [*keys, "collapses"], quantiles)
     power = F.pow(F.lit(2.0), F.col("collapses"))
