@@ -70,16 +70,23 @@ def estimated_rows(count: int, aggressiveness: float) -> int:
     return max(2, -int(-count * (1 - 0.95 * aggressiveness) // 1))
 
 
-def compress_by_size(df: DataFrame, target_rows: int, base: str, original: str, method: str | int = "linear", group: Sequence[str] = (), unit: str = "us", arrival: str = "seq", rounds: int = 4) -> DataFrame:
-    """The oldest quarter of what is still pure is compressed, again and again, until the rows fit or all is done."""
+def compress_by_size(df: DataFrame, target_rows: int, base: str, original: str, method: str | int = "linear", group: Sequence[str] = (), unit: str = "us", arrival: str = "seq", parts: int = 4) -> DataFrame:
+    """The oldest quarter (one of ``parts``) is compressed, then the next one with it, until the rows fit.
+
+    If they still don't when all is compressed it goes on harder, at MOST and at last down to both ends of each series, which nothing can undercut.
+    """
     rows = df.select(*group, "ts", F.col("value").cast("double").alias("value"), *[arrival] * (arrival in df.columns))
     n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
-    done, k = rows.select(*group, "ts", "value"), 0
-    while n > target_rows and k < rounds and hi is not None and hi > lo:
-        k += 1
-        cut = lo + (hi - lo) * k // rounds
-        a = required(n, target_rows, n)["aggressiveness"]
-        old = compress(rows.where(F.col("ts") <= F.lit(cut)), max(a, 0.25), base, original, method, group, unit, arrival)
-        done = old.unionByName(rows.where(F.col("ts") > F.lit(cut)).select(*group, "ts", "value"))
-        n = done.count()
+    done = rows.select(*group, "ts", "value")
+    if hi is None or hi <= lo:
+        return done
+    for least in (0.25, MOST, ENDS_ONLY):
+        for k in range(1, parts + 1):
+            if n <= target_rows:
+                return done
+            cut = lo + (hi - lo) * k // parts
+            a = max(required(n, target_rows, n)["aggressiveness"], least)
+            old = compress(rows.where(F.col("ts") <= F.lit(cut)), a, base, original, method, group, unit, arrival)
+            done = old.unionByName(rows.where(F.col("ts") > F.lit(cut)).select(*group, "ts", "value"))
+            n = done.count()
     return done

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONSTRAINTS = tuple(f"{a}{b}_{c}" for a, b, c in product(("max", "average", "sum"), ("", "_absolute"), ("static", "percentile")))
-#: Learned similarity: distances remembered, imports between steerings, share of new patterns aimed at, step, centre and bounds of the factor.
+#: Fixed values of learned similarity: distances remembered, imports between steerings, share of new patterns aimed at, step, centre and bounds of the factor.
 MEMORY, RATE_WINDOW, NEW_SHARE, STEP, CENTRE, BOUNDS = 256, 50, 0.02, 1.25, 2.0, (0.05, 20.0)
-#: Per cent that stands for a difference from nothing.
+#: Fixed value: per cent that stands for a difference from nothing.
 FROM_ZERO = 10_000.0
 
 
@@ -92,7 +92,7 @@ class Learned:
             self.imports = self.new = 0
 
 
-#: Learned step counts: shapes looked at, share of a shape's range that resampling may cost, share of shapes that must keep to it, most steps.
+#: Fixed values of learned step counts: shapes looked at, share of a shape's range that resampling may cost, share of shapes that must keep to it, most steps.
 CALIBRATION, TOLERANCE, KEEP, MOST_STEPS = 64, 0.02, 0.9, 1024
 
 
@@ -120,50 +120,88 @@ def learned_steps(batches: DataFrame, y: str = "shape", sample: int = CALIBRATIO
     return steps_for([r[0] for r in rows])
 
 
+def holding(a: np.ndarray, known: np.ndarray, limits: dict[str, float]) -> np.ndarray:
+    """Which of the ``known`` shapes (rows as long as ``a``) satisfy all constraints with ``a`` first, as :func:`constraint` has them."""
+    good = np.ones(len(known), bool)
+    for kind, limit in limits.items():
+        if kind not in CONSTRAINTS:
+            raise ValueError(f"no such constraint: {kind!r}")
+        measure, percent = kind.split("_")[0], kind.endswith("percentile")
+        x, y = (np.abs(a), np.abs(known)) if "_absolute" in kind else (a, known)
+        if not len(a):
+            good &= percent
+            continue
+        if measure == "sum" or (measure == "max" and not percent):
+            apart = np.abs(x.sum() - y.sum(axis=1)) if measure == "sum" else np.abs(x.max() - y.max(axis=1))
+            found = _share(apart, y.sum(axis=1)) if percent else apart
+        else:
+            apart = np.abs(x - y)
+            apart = _share(apart, np.abs(y)) if percent else apart
+            found = apart.max(axis=1) if measure == "max" else apart.mean(axis=1)
+        good &= found <= limit
+    return good
+
+
+def _share(apart: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """A difference in per cent of its base."""
+    return np.where(base != 0, apart / np.where(base != 0, base, 1) * 100, np.where(apart == 0, 0.0, FROM_ZERO))
+
+
+class Dictionary:
+    """The patterns of one group, in order: an array that grows by doubling for each length of shape."""
+
+    def __init__(self, limits: dict[str, float] | None, most: int):
+        self.limits, self.most, self.learned, self.size = limits, most, Learned(), 0
+        self.held: dict[int, tuple[np.ndarray, list[int]]] = {}
+
+    def add(self, a: np.ndarray) -> tuple[list[int], bool]:
+        """Numbers of the patterns that a shape belongs to, and whether that is a new one."""
+        rows, numbers = self.held.get(len(a), (np.zeros((0, len(a))), []))
+        known = rows[: len(numbers)]
+        hit = self.learned.matches(a, known) if self.limits is None else np.flatnonzero(holding(a, known, self.limits))
+        if len(hit):
+            return [numbers[k] for k in hit], False
+        if self.size >= self.most:
+            raise ValueError(f"a dictionary of more than {self.most} patterns")
+        if len(numbers) == len(rows):
+            rows = np.concatenate((rows, np.zeros((max(16, len(rows)), len(a)))))
+        rows[len(numbers)] = a
+        numbers.append(self.size)
+        self.held[len(a)] = rows, numbers
+        self.size += 1
+        return [self.size - 1], True
+
+
 def import_patterns(shapes: DataFrame, limits: dict[str, float] | None, group: Sequence[str] = (), y: str = "shape", most: int = 100_000) -> DataFrame:
     """Patterns of each group's dictionary: group, pattern, shape, occurrences (begin, end).
 
     Shapes (group, begin, end, ``y``) are taken in order of begin.  One that is similar to stored patterns adds its occurrence to all of
-    them, else it becomes a pattern.  ``limits`` bound the mean pointwise difference (average_static) and the difference of maxima (max_static); None
-    learns them.  The state is the dictionary, which may hold ``most`` patterns; more are an error.
+    them, else it becomes a pattern.  ``limits`` bound any of CONSTRAINTS, all of which must hold, and shapes of unequal length are never similar; None
+    learns limits.  A group is one stream whose only state is its dictionary, which may hold ``most`` patterns; more are an error.
     """
     names = list(group)
-
-    def one(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, spans, learned = np.zeros((0, 0)), [], Learned()
-        for frame in frames:
-            for begin, end, shape in zip(frame["begin"], frame["end"], frame[y], strict=True):
-                a = np.asarray(shape, float)
-                if limits is None:
-                    hit = learned.matches(a, known)
-                else:
-                    d = distances(a, known) if len(known) else np.zeros((0, 2))
-                    hit = np.flatnonzero((d[:, 0] <= limits.get("average_static", np.inf)) & (d[:, 1] <= limits.get("max_static", np.inf)))
-                for k in hit:
-                    spans[k].append((begin, end))
-                if not len(hit):
-                    if len(spans) >= most:
-                        raise ValueError(f"a dictionary of more than {most} patterns")
-                    known = np.vstack((known.reshape(-1, len(a)), a))
-                    spans.append([(begin, end)])
-        rows = {g: [v] * len(spans) for g, v in zip(names, keys, strict=True)}
-        yield pd.DataFrame({**rows, "pattern": range(len(spans)), "shape": [list(x) for x in known], "occurrences": [[{"begin": int(a), "end": int(b)} for a, b in s] for s in spans]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in shapes.schema.fields}
-    schema = ", ".join([f"`{g}` {kinds[g]}" for g in names] + ["pattern long", "shape array<double>", "occurrences array<struct<begin:long,end:long>>"])
+    if limits is not None and (odd := set(limits) - set(CONSTRAINTS)):
+        raise ValueError(f"no such constraints: {sorted(odd)}")
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
+        at, known = None, None
         for frame in frames:
             for keys, part in frame.groupby(names, sort=False, dropna=False) if names else [((), frame)]:
-                if at is not None and keys != at:
-                    yield from one(at, iter(held))
-                    held = []
-                at = keys
-                held.append(part)
-        if at is not None:
-            yield from one(at, iter(held))
+                same = at is not None and all(x == z or (pd.isna(x) and pd.isna(z)) for x, z in zip(keys, at, strict=True))
+                if not same:
+                    at, known = keys, Dictionary(limits, most)
+                out: list[tuple] = []
+                for begin, end, shape in zip(part["begin"], part["end"], part[y], strict=True):
+                    a = np.asarray(shape, float)
+                    numbers, new = known.add(a)
+                    out += [(k, list(a) if new else None, begin, end) for k in numbers]
+                made = pd.DataFrame(out, columns=["pattern", "shape", "begin", "end"])
+                yield pd.concat([part[names].iloc[[0] * len(made)].reset_index(drop=True), made], axis=1)
 
+    kinds = {f.name: f.dataType.simpleString() for f in shapes.schema.fields}
+    schema = ", ".join([f"`{g}` {kinds[g]}" for g in names] + ["pattern long", "shape array<double>", "begin long", "end long"])
     rows = shapes.select(*names, "begin", "end", y)
     rows = rows.repartition(*names).sortWithinPartitions(*names, "begin") if names else rows.coalesce(1).sortWithinPartitions("begin")
-    return rows.mapInPandas(stream, schema)
+    members = rows.mapInPandas(stream, schema)
+    occurrences = F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("occurrences")
+    return members.groupBy(*names, "pattern").agg(F.first("shape", ignorenulls=True).alias("shape"), occurrences)
