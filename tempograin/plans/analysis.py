@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +41,19 @@ class Analysis:
 
     def probabilities(self, now: int) -> DataFrame:
         return signals.probabilities(self.signals, self.correlations, self.events, now, self.group)
+
+
+def run_many(runs: Mapping[str, Analysis], at_once: int = 4) -> tuple[dict[str, Analysis], dict[str, Exception]]:
+    """Runs of several tables, some at once: those that ended, and the errors of those that failed, which keep no other from ending."""
+    done: dict[str, Analysis] = {}
+    failed: dict[str, Exception] = {}
+
+    def one(name: str) -> None:
+        try:
+            done[name] = runs[name].run()
+        except Exception as e:  # whatever it is, it is this run's alone and is handed to the caller
+            failed[name] = e
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(one, runs))
+    return done, failed
