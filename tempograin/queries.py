@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograin.functions import decimals, intervals, tags
 from tempograin.functions.grid import Width, bucket_index, bucket_start, convert_distance, epoch, moment, panel_width, units_between
 from tempograin.operators import compress as cp
 from tempograin.operators import detect, joins, reads, shapes, signals, similarity, sketch
+from tempograin.operators.chunks import neighbours
 from tempograin.operators.fill import fill
 from tempograin.operators.interpolate import interpolate, interpolate_point, knots_of
 from tempograin.operators.reduce import coarsen, downsample, finish, merge, partials, rebucket
 from tempograin.plans.analysis import Analysis
-from tempograin.plans.rollup import Rollups
+from tempograin.plans.rollup import Rollups, StoredRollups
 from tempograin.plans.scratch import fresh
 from tempograin.sources import formats, ilp
 from tempograin.sources.store import Aspect, Store
@@ -162,6 +163,19 @@ def sketch_merged(spark, sf):
     return sketch.merge_bins(sketch.bins(d, ["flag", "part"]).drop("part"), ["flag"])
 
 
+#: One event type unknown: a null group is a group like any other.
+NULLED = "ev AS (SELECT event_id AS seq, nullif(event_type, 'click') AS event_type, epoch_us(ts) AS ts, value::DECIMAL(18,2) AS value FROM events)"
+
+
+def nulled(spark, sf):
+    return events(spark, sf).withColumn("event_type", F.nullif(F.col("event_type"), F.lit("click")))
+
+
+@query(f"WITH {NULLED}, s AS (SELECT event_type, ts - ts % {DAY} AS bucket, value::DOUBLE AS v FROM ev), z AS ({'WITH ' + sketch_sql('event_type, bucket', 's', QUANTILES, 2048)}), x AS (SELECT event_type, ts - ts % {DAY} AS bucket, count(*) AS count, list_sort(list(value))[(count(*) * 50 + 99) // 100]::DOUBLE AS p50 FROM ev GROUP BY ALL) SELECT x.*, z.sketch_p50 FROM x JOIN z ON x.event_type IS NOT DISTINCT FROM z.event_type AND x.bucket = z.bucket")
+def downsample_null_group(spark, sf):
+    return downsample(nulled(spark, sf), "1d", ["p50", "sketch_p50"], ["event_type"]).withColumn("sketch_p50", F.round("sketch_p50", 6))
+
+
 # Partial reductions.
 @query(by(HOUR))
 def partials_merged(spark, sf):
@@ -186,6 +200,16 @@ def rollup_substituted(spark, sf):
     return Rollups(["event_type"]).materialize(e, "1h", ["6h"]).downsample(e, "1d", ALL_SIX, BEGIN + 2 * DAY, BEGIN + 20 * DAY - 1)
 
 
+@query(f"WITH {EV}, s AS (SELECT event_type, ts - ts % {DAY} AS bucket, value::DOUBLE AS v FROM ev), z AS ({'WITH ' + sketch_sql('event_type, bucket', 's', QUANTILES, 2048)}), x AS ({by(DAY)}) SELECT x.event_type, x.bucket, x.count, x.last, z.sketch_p50, z.sketch_p99 FROM x JOIN z USING (event_type, bucket)")
+def rollup_sketches(spark, sf):
+    e = events(spark, sf)
+    rollups = Rollups(["event_type"]).materialize(e, "1h", ["6h"], sketches=True)
+    if rollups.choose("1d", ["last", "sketch_p50"]).width != Width(6, "hours"):
+        raise AssertionError("a tier of six hours can give days")
+    made = rollups.downsample(e, "1d", ["last", "sketch_p50", "sketch_p99"])
+    return made.withColumns({a: F.round(a, 6) for a in ("sketch_p50", "sketch_p99")})
+
+
 @query(f"WITH {ST}, r AS (SELECT * FROM st WHERE true QUALIFY seal_seq = max(seal_seq) OVER (PARTITION BY series_key, ts)) SELECT series_key, ts - ts % {DAY} AS bucket, count(*) AS count, min(value)::DOUBLE AS min, max(value)::DOUBLE AS max, sum(value)::DOUBLE AS sum FROM r WHERE value IS NOT NULL GROUP BY ALL")
 def downsample_stored(spark, sf):
     rows = reads.time_range(stored(spark, sf)).withColumnRenamed("row_seq", "seq")
@@ -238,6 +262,17 @@ def fill_linear(spark, sf):
     return filled(spark, sf, "linear")
 
 
+@query(f"{FILL} SELECT event_type, ts AS bucket, count, coalesce(value, p.v + (q.v - p.v) * ((ts - p.t) // {HOUR}) / ((q.t - p.t) // {HOUR})) AS avg FROM m WHERE ts BETWEEN {BEGIN + 3 * DAY} AND {BEGIN + 5 * DAY}")
+def fill_linear_bounded(spark, sf):
+    return filled(spark, sf, "linear", start=BEGIN + 3 * DAY, end=BEGIN + 5 * DAY)
+
+
+@query(f"SELECT {BEGIN} + i * {HOUR} AS bucket, 0::BIGINT AS count, NULL::DOUBLE AS avg FROM range(0, 3) t(i)")
+def fill_empty(spark, sf):
+    none = downsample(events(spark, sf).where("false"), "1h", ["avg"])
+    return fill(none, "1h", "null", ["avg"], start=BEGIN, end=BEGIN + 2 * HOUR)
+
+
 @query(f"{FILL} SELECT event_type, ts AS bucket, count, coalesce(value, -1.5) AS avg FROM m")
 def fill_constant(spark, sf):
     return filled(spark, sf, -1.5)
@@ -283,6 +318,12 @@ def interpolate_linear(spark, sf):
     return reconstructed(spark, sf, "linear")
 
 
+@query(f"WITH {NULLED}, hr AS (SELECT coalesce(event_type, '-') AS event_type, ts - ts % {HOUR} AS ts, sum(value)::DOUBLE / count(*) AS value FROM ev GROUP BY ALL), {GRID}, j AS ({'WITH ' + lagrange(2)}) SELECT nullif(event_type, '-') AS event_type, ts, value, kind FROM j")
+def interpolate_null_group(spark, sf):
+    rows = downsample(nulled(spark, sf), "1h", ["avg"], ["event_type"]).select("event_type", F.col("bucket").alias("ts"), F.col("avg").alias("value"))
+    return interpolate(rows, "30m", "linear", ["event_type"], **SPAN).withColumn("value", rounded("value"))
+
+
 @query(f"WITH {HR}, {GRID}, {lagrange(3)}")
 def interpolate_quadratic(spark, sf):
     return reconstructed(spark, sf, "quadratic")
@@ -318,6 +359,12 @@ def interpolate_stored_margin(spark, sf):
     return interpolate(rows, "10m", "linear", ["event_type"], a, b, DAY).withColumn("value", rounded("value"))
 
 
+@query(f"WITH {HR}, g AS (SELECT event_type, unnest(generate_series(a, b, {HOUR})) AS ts FROM (SELECT event_type, min(ts) AS a, max(ts) AS b FROM hr GROUP BY ALL)), {lagrange(3).replace('SELECT event_type, ts, round', 'SELECT event_type, ts AS bucket, round').replace(' AS value, CASE', ' AS avg, CASE')}")
+def fill_quadratic(spark, sf):
+    made = filled(spark, sf, "quadratic")
+    return made.select("event_type", "bucket", rounded("avg").alias("avg"), F.when(F.col("count") > 0, "raw").otherwise("interpolated").alias("kind"))
+
+
 @query(f"WITH {HR}, g AS (SELECT event_type, unnest(generate_series(a, b, {HOUR})) AS ts FROM (SELECT event_type, min(ts) AS a, max(ts) AS b FROM hr GROUP BY ALL)), {lagrange(4, cubic=True).replace('round(', 'round(').replace('SELECT event_type, ts, round', 'SELECT event_type, ts AS bucket, round').replace(' AS value, CASE', ' AS avg, CASE')}")
 def fill_cubic(spark, sf):
     made = filled(spark, sf, "cubic")
@@ -465,29 +512,25 @@ def parsed_decimals(spark, sf):
     return t.select("text", decimals.is_decimal(c).alias("ok"), F.when(decimals.is_decimal(c), decimals.plain_digits(c)).alias("digits"), decimals.parse_decimal(c).alias("value"))
 
 
-# Detectors, over hourly means of clicks.
-CL = f"{HR}, c AS (SELECT ts, value, lag(value) OVER w AS p, lag(ts) OVER w AS pt, lead(value) OVER w AS q, lead(ts) OVER w AS qt FROM hr WHERE event_type = 'click' WINDOW w AS (ORDER BY ts))"
-
-
-def clicks(spark, sf):
-    return hourly(spark, sf).where("event_type = 'click'").select("ts", "value")
+# Detectors, over hourly means of each event type.
+CL = f"{HR}, c AS (SELECT event_type, ts, value, lag(value) OVER w AS p, lag(ts) OVER w AS pt, lead(value) OVER w AS q, lead(ts) OVER w AS qt, max(value) OVER (PARTITION BY event_type) AS high, min(value) OVER (PARTITION BY event_type) AS low FROM hr WINDOW w AS (PARTITION BY event_type ORDER BY ts))"
 
 
 for _name, _f, _how, _where, _span in (
-    ("detect_peaks", detect.peaks, {}, "p < value AND q < value AND value = (SELECT max(value) FROM c)", "pt, qt"),
+    ("detect_peaks", detect.peaks, {}, "p < value AND q < value AND value = high", "pt, qt"),
     ("detect_all_peaks", detect.peaks, {"everywhere": True}, "p < value AND q < value", "pt, qt"),
-    ("detect_valleys", detect.valleys, {}, "p > value AND q > value AND value = (SELECT min(value) FROM c)", "pt, qt"),
+    ("detect_valleys", detect.valleys, {}, "p > value AND q > value AND value = low", "pt, qt"),
     ("detect_all_valleys", detect.valleys, {"everywhere": True}, "p > value AND q > value", "pt, qt"),
     ("detect_crossing_up", detect.crossings, {"threshold": 50.0, "up": True}, "p < 50 AND 50 <= value", "pt, ts"),
     ("detect_crossing_down", detect.crossings, {"threshold": 50.0, "up": False}, "p > 50 AND 50 >= value", "pt, ts"),
 ):
 
     def _detector(spark, sf, f=_f, how=_how):
-        return f(clicks(spark, sf), name="e", **how)
+        return f(hourly(spark, sf), group=["event_type"], name="e", **how)
 
     _detector.__name__ = _name
     _a, _b = _span.split(", ")
-    query(f"WITH {CL} SELECT 'e' AS event, {_a} AS start, {_b} AS \"end\" FROM c WHERE {_where}")(_detector)
+    query(f"WITH {CL} SELECT event_type, 'e' AS event, {_a} AS start, {_b} AS \"end\" FROM c WHERE {_where}")(_detector)
 
 
 @query(f"""WITH {HR}, m AS (SELECT event_type, date_trunc('month', make_timestamp(ts)) AS month, arg_min(value, ts) AS a, arg_max(value, ts) AS b, min(ts) AS s, max(ts) AS e, count(*) AS n FROM hr GROUP BY ALL)
@@ -509,17 +552,16 @@ def detect_drawdown(spark, sf):
     return detect.drawdown(hourly(spark, sf), 0.5, ["event_type"])
 
 
-@query(f"WITH {CL} SELECT 'up' AS event, pt AS start, ts AS \"end\" FROM c WHERE ts >= {BEGIN + 10 * DAY} AND pt >= {BEGIN + 10 * DAY} AND p < 60 AND 60 <= value UNION ALL SELECT 'own', ts, ts FROM c WHERE ts >= {BEGIN + 10 * DAY} AND value > 90")
+@query(f"WITH {CL} SELECT event_type, 'up' AS event, pt AS start, ts AS \"end\" FROM c WHERE ts >= {BEGIN + 10 * DAY} AND pt >= {BEGIN + 10 * DAY} AND p < 60 AND 60 <= value UNION ALL SELECT event_type, 'own', ts, ts FROM c WHERE ts >= {BEGIN + 10 * DAY} AND value > 90")
 def detect_registered(spark, sf):
-    own = lambda df: df.where("value > 90").select(F.lit("own").alias("event"), F.col("ts").alias("start"), F.col("ts").alias("end"))
-    return detect.Registry().register_builtin("crossings", "up", threshold=60.0).register("own", own).run(clicks(spark, sf), BEGIN + 10 * DAY)
+    own = lambda df: df.where("value > 90").select("event_type", F.lit("own").alias("event"), F.col("ts").alias("start"), F.col("ts").alias("end"))
+    return detect.Registry(["event_type"]).register_builtin("crossings", "up", threshold=60.0).register("own", own).run(hourly(spark, sf), BEGIN + 10 * DAY)
 
 
-@query(f"WITH {CL} SELECT ts, value, value - p AS rise, sign((value - p) / (ts - pt))::INT AS direction, pt + (ts - pt) // 2 AS middle FROM c WHERE p IS NOT NULL")
+@query(f"WITH {CL} SELECT event_type, ts, value, value - p AS rise, sign((value - p) / (ts - pt))::INT AS direction, pt + (ts - pt) // 2 AS middle FROM c WHERE p IS NOT NULL")
 def slopes(spark, sf):
-    w = Window.orderBy("ts")
-    c = clicks(spark, sf).withColumn("p", F.lag("value").over(w)).withColumn("pt", F.lag("ts").over(w)).where("p is not null")
-    return c.select("ts", "value", (F.col("value") - F.col("p")).alias("rise"), intervals.slope_sign(F.col("pt"), F.col("p"), F.col("ts"), F.col("value")).alias("direction"), intervals.midpoint(F.col("pt"), F.col("ts")).alias("middle"))
+    c = neighbours(hourly(spark, sf), ["event_type"]).where("p is not null")
+    return c.select("event_type", "ts", "value", (F.col("value") - F.col("p")).alias("rise"), intervals.slope_sign(F.col("pt"), F.col("p"), F.col("ts"), F.col("value")).alias("direction"), intervals.midpoint(F.col("pt"), F.col("ts")).alias("middle"))
 
 
 # Shapes.
@@ -558,9 +600,15 @@ def relative_batches(spark, sf):
     return b.select("event_type", "begin", F.round(F.element_at("points", 7)["y"], 6).alias("y7"), F.round(F.element_at("points", 7)["x"], 6).alias("x7"))
 
 
-@query()
+@query(f"""WITH {BATCH}, {LEVEL}, s AS (SELECT event_type, begin, list_filter(p, lambda q, i: i = 1 OR i = 12 OR sign(q.y - p[i - 1].y) <> sign(p[i + 1].y - q.y)) AS p FROM l),
+m AS (SELECT *, list_max(list_transform(p, lambda q: q.y)) - list_min(list_transform(p, lambda q: q.y)) AS h, list_max(list_transform(p, lambda q: q.x)) - list_min(list_transform(p, lambda q: q.x)) AS w FROM s),
+r AS (SELECT event_type, begin, list_transform(p, lambda q: {{'x': q.x / w, 'y': q.y / h}}) AS p FROM m WHERE w <> 0 AND h <> 0),
+a AS (SELECT event_type, begin, i, least(1.0::DOUBLE, i / 7.0::DOUBLE) AS s, list_filter(p, lambda q: q.x <= least(1.0::DOUBLE, i / 7.0::DOUBLE))[-1] AS l, list_filter(p, lambda q: q.x >= least(1.0::DOUBLE, i / 7.0::DOUBLE))[1] AS r FROM r, range(0, 8) t(i)),
+y AS (SELECT event_type, begin, i, round(coalesce(l.y + (r.y - l.y) * (s - l.x) / nullif(r.x - l.x, 0), l.y, r.y) + 3.14159e-6, 5) AS y FROM a)
+SELECT event_type, begin, {', '.join(f'max(y) FILTER (i = {i}) AS y{i}' for i in range(8))} FROM y GROUP BY ALL""")
 def processed_shapes(spark, sf):
-    return shapes.process(batches(spark, sf)).select("event_type", "begin", F.transform(shapes.resample(F.col("points"), 8), lambda y: F.round(y, 6)).alias("shape"))
+    made = shapes.process(batches(spark, sf)).select("event_type", "begin", shapes.resample(F.col("points"), 8).alias("y"))
+    return made.select("event_type", "begin", *[F.round(F.get("y", F.lit(i)) + OFF, 5).alias(f"y{i}") for i in range(8)])
 
 
 @query(f"""WITH {HR}, c AS (SELECT *, sign(value - lag(value) OVER w) AS b, sign(lead(value) OVER w - value) AS a FROM hr WINDOW w AS (PARTITION BY event_type ORDER BY ts))
@@ -569,7 +617,7 @@ def slope_change_rows(spark, sf):
     return shapes.slope_changes(hourly(spark, sf), ["event_type"])
 
 
-@query(f"WITH {EV}, c AS (SELECT DISTINCT ts - ts % {DAY} AS lo FROM ev WHERE seq % 20 = 0) SELECT DISTINCT {BEGIN} + i * {HOUR} AS \"window\" FROM c, range(0, 800) t(i) WHERE {BEGIN} + i * {HOUR} <= lo + {2 * HOUR} AND {BEGIN} + (i + 23) * {HOUR} >= lo AND {BEGIN} + (i + 23) * {HOUR} <= {BEGIN + 29 * DAY}")
+@query(f"WITH {EV}, c AS (SELECT DISTINCT ts - ts % {DAY} AS lo FROM ev) SELECT DISTINCT {BEGIN} + i * {HOUR} AS \"window\" FROM c, range(0, 800) t(i) WHERE {BEGIN} + i * {HOUR} <= lo + {2 * HOUR} AND {BEGIN} + (i + 23) * {HOUR} >= lo AND {BEGIN} + (i + 23) * {HOUR} <= {BEGIN + 29 * DAY}")
 def affected_windows(spark, sf):
     e = events(spark, sf).select((F.col("ts") - F.pmod("ts", F.lit(DAY))).alias("lo")).distinct().withColumn("hi", F.col("lo") + 2 * HOUR)
     return shapes.affected_windows(e, BEGIN, HOUR, 24, BEGIN + 29 * DAY)
@@ -620,7 +668,7 @@ def dictionary_learned(spark, sf):
 
 
 # Correlations and signals: crossings are the events, quiet hours the occurrences.
-MEN = f"{HR}, n AS (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS pt FROM hr WINDOW w AS (PARTITION BY event_type ORDER BY ts)), men AS (SELECT event_type, 'up' AS event, pt AS start, ts AS \"end\" FROM n WHERE p < 50 AND 50 <= value), occ AS (SELECT event_type, user_id % 3 AS pattern, ts - ts % {HOUR} AS begin, ts - ts % {HOUR} + {3 * HOUR} AS \"end\" FROM ev WHERE seq % 7 = 0 GROUP BY ALL), cor AS (SELECT event_type, event, pattern, {HOUR} AS step, (sum(g) FILTER (g > 0) // nullif(count(*) FILTER (g > 0), 0))::BIGINT AS average_distance FROM (SELECT event_type, event, (lead(start) OVER (PARTITION BY event_type ORDER BY start) - start) // {HOUR} AS g FROM men) JOIN (SELECT DISTINCT event_type, pattern FROM occ) USING (event_type) GROUP BY ALL)"
+MEN = f"{HR}, n AS (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS pt FROM hr WINDOW w AS (PARTITION BY event_type ORDER BY ts)), men AS (SELECT event_type, 'up' AS event, pt AS start, ts AS \"end\" FROM n WHERE p < 50 AND 50 <= value), occ AS (SELECT event_type, user_id % 3 AS pattern, ts - ts % {HOUR} AS begin, ts - ts % {HOUR} + {3 * HOUR} AS \"end\" FROM ev GROUP BY ALL), cor AS (SELECT event_type, event, pattern, {HOUR} AS step, (sum(g) FILTER (g > 0) // nullif(count(*) FILTER (g > 0), 0))::BIGINT AS average_distance FROM (SELECT event_type, event, (lead(start) OVER (PARTITION BY event_type ORDER BY start) - start) // {HOUR} AS g FROM men) JOIN (SELECT DISTINCT event_type, pattern FROM occ) USING (event_type) GROUP BY ALL)"
 SIG = f"""{MEN}, h AS (SELECT m.event_type, m.event, o.pattern, m.start, m."end", max(o."end") AS d FROM men m JOIN occ o ON o.event_type = m.event_type AND o."end" < m.start GROUP BY ALL),
 past AS (SELECT event_type, event, pattern, {HOUR} AS step, start AS manifestation_start, d AS date, k AS signal_type, (t - d) // {HOUR} AS distance, false AS forward FROM (SELECT *, unnest(['start', 'mid', 'end']) AS k, unnest([start, start + ("end" - start) // 2, "end"]) AS t FROM h)),
 ahead AS (SELECT o.event_type, l.event, o.pattern, {HOUR} AS step, NULL::BIGINT AS manifestation_start, o."end" AS date, 'start' AS signal_type, m.distance, true AS forward FROM occ o JOIN (SELECT event_type, event, max("end") AS last FROM men GROUP BY ALL) l ON l.event_type = o.event_type AND o."end" > l.last JOIN (SELECT event_type, event, pattern, min(distance) AS distance FROM past WHERE signal_type = 'start' AND distance > 0 GROUP BY ALL) m ON m.event_type = o.event_type AND m.event = l.event AND m.pattern = o.pattern),
@@ -692,7 +740,13 @@ def tier_aggressiveness(spark, sf):
     return events(spark, sf).select("seq", a("linear").alias("linear"), F.round(a("exponential"), 9).alias("exponential"))
 
 
-@query()
+@query(f"""WITH {HR}, a AS (SELECT *, {BEGIN + 30 * DAY} - ts AS age FROM hr),
+k AS (SELECT event_type AS own, ts, value, CASE WHEN age <= {10 * DAY} THEN 0 ELSE least(4, (age - {10 * DAY}) // {5 * DAY}) END AS k FROM a),
+lv AS (SELECT own || '|' || k AS event_type, ts, value FROM k WHERE k > 0),
+g AS (SELECT event_type, unnest(generate_series(a, b, {HOUR})) AS ts FROM (SELECT event_type, min(ts) AS a, max(ts) AS b FROM lv GROUP BY ALL)), i AS ({'WITH ' + lagrange(2, knots='lv')}),
+c AS (SELECT *, sign(value - lag(value) OVER w) AS b, sign(lead(value) OVER w - value) AS a FROM i WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+SELECT split_part(event_type, '|', 1) AS event_type, ts, value FROM c WHERE a IS NULL OR b IS NULL OR a <> b
+UNION ALL SELECT own, ts, round(value + {OFF}, 5) FROM k WHERE k = 0""")
 def compressed_by_age(spark, sf):
     rows = hourly(spark, sf).withColumn("seq", F.lit(0))
     return cp.compress_by_age(rows, BEGIN + 30 * DAY, 10 * DAY, 5 * DAY, 4, "days", "hours", group=["event_type"]).withColumn("value", rounded("value"))
@@ -712,10 +766,10 @@ def asof_join(spark, sf):
     return joins.asof_join(e.where("event_type = 'click'"), right, chunk=DAY).select("seq", "right_ts", "right_value")
 
 
-@query(f"WITH {CL}, s AS (SELECT pt AS start, qt AS \"end\" FROM c WHERE p < value AND q < value) SELECT ev.seq, s.start, s.\"end\" FROM ev JOIN s ON ev.ts BETWEEN s.start AND s.\"end\"")
+@query(f"WITH {CL}, s AS (SELECT event_type, pt AS start, qt AS \"end\" FROM c WHERE p < value AND q < value) SELECT ev.seq, s.start, s.\"end\" FROM ev JOIN s ON ev.event_type = s.event_type AND ev.ts BETWEEN s.start AND s.\"end\"")
 def interval_join(spark, sf):
-    spans = detect.peaks(clicks(spark, sf), everywhere=True).select("start", "end")
-    return joins.interval_join(events(spark, sf), spans, 6 * HOUR).select("seq", "start", "end")
+    spans = detect.peaks(hourly(spark, sf), ["event_type"], everywhere=True).select("event_type", "start", "end")
+    return joins.interval_join(events(spark, sf), spans, 6 * HOUR, ["event_type"]).select("seq", "start", "end")
 
 
 # Formats, the store and streams: what is written comes back.
@@ -755,12 +809,38 @@ def arrow_round_trip(spark, sf):
 
 @query(f"WITH {EV} SELECT 'metric' AS measurement, 'type' || chr(31) || event_type AS series_key, ts, value::DOUBLE AS value FROM ev")
 def line_protocol(spark, sf):
-    e = events(spark, sf)
+    e = events(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # as a text of many splits would be
     line = F.concat(F.lit("metric,type="), "event_type", F.lit(" value="), F.col("value").cast("string"), F.lit(',note="a, b=c" '), F.col("ts").cast("string"), F.lit("000"))
     records = ilp.strict(ilp.parse_lines(e.select(F.col("seq").alias("line"), line.alias("value"))))
     return ilp.points(records, "value").select("measurement", "series_key", "ts", F.col("value").cast("double").alias("value"))
 
 
+@query(f"""WITH {EV} SELECT seq AS line, CASE seq % 6 WHEN 5 THEN NULL ELSE 'my metric' END AS measurement, CASE WHEN seq % 6 <> 5 THEN 'k=' || event_type END AS tag,
+  CASE seq % 6 WHEN 0 THEN 'float' WHEN 1 THEN 'integer' WHEN 2 THEN 'unsigned' WHEN 3 THEN 'boolean' WHEN 4 THEN 'string' END AS kind,
+  CASE seq % 6 WHEN 1 THEN (-seq)::VARCHAR WHEN 2 THEN seq::VARCHAR WHEN 3 THEN 'true' WHEN 4 THEN 'a "b", c=' || seq || ' \\' END AS text,
+  CASE WHEN seq % 6 = 0 THEN value::DOUBLE END AS number, CASE WHEN seq % 6 <> 5 AND seq % 4 <> 0 THEN ts END AS ts, seq % 6 = 5 AS bad FROM ev WHERE seq % 7 <> 3""")
+def line_protocol_typed(spark, sf):
+    """Every kind of field, escapes, comments (each seventh line), missing timestamps, and numbers that aren't any."""
+    k = F.col("seq") % 6
+    value = F.when(k == 0, F.col("value").cast("string")).when(k == 1, F.concat(F.lit("-"), "seq", F.lit("i"))).when(k == 2, F.concat("seq", F.lit("u"))).when(k == 3, F.lit("T"))
+    value = value.when(k == 4, F.concat(F.lit('"a \\"b\\", c='), "seq", F.lit(' \\\\"'))).otherwise(F.lit("1_0"))
+    line = F.concat(F.lit("my\\ metric,tag\\==k\\="), "event_type", F.lit(" f\\,x="), value, F.when(F.col("seq") % 4 != 0, F.concat(F.lit(" "), F.col("ts").cast("string"))).otherwise(F.lit("")))
+    line = F.when(F.col("seq") % 7 == 3, F.lit("# nothing")).otherwise(line)
+    r = ilp.parse_lines(events(spark, sf).select(F.col("seq").alias("line"), line.alias("value")))
+    f = F.element_at("fields", "f,x")
+    return r.select("line", "measurement", F.element_at("tags", "tag=").alias("tag"), f["kind"].alias("kind"), F.when(f["kind"] != "float", f["text"]).alias("text"), F.when(f["kind"] == "float", f["text"].cast("double")).alias("number"), "ts", F.col("error").isNotNull().alias("bad"))
+
+
+@query(f"WITH {EV} SELECT 'm' AS aspect, 'type' || chr(31) || 'click' AS series_key, ts, value::DOUBLE AS value, 0::BIGINT AS seal_seq, seq AS row_seq FROM ev WHERE event_type = 'click'")
+def line_protocol_stored(spark, sf):
+    store = Store(spark, fresh(spark, "store"))
+    store.declare(Aspect("m", "scaled_i64", 2))
+    e = events(spark, sf)
+    line = F.concat(F.when(F.col("event_type") == "click", F.lit("metric")).otherwise(F.lit("other")), F.lit(",type="), "event_type", F.lit(" value="), F.col("value").cast("string"), F.lit(" "), F.col("ts").cast("string"), F.lit("000"))
+    ilp.ingest_lines(store, "m", ilp.parse_lines(e.select(F.col("seq").alias("line"), line.alias("value"))), "metric", "value", key="k")
+    return store.read("m")
+
+
 def _store(spark, sf):
     store = Store(spark, fresh(spark, "store"))
     store.declare(Aspect("event_value", "scaled_i64", 2))
@@ -794,6 +874,71 @@ def store_purged(spark, sf):
     return store.read("event_value")
 
 
+@query(f"{STORED} WHERE true {NEWEST}")
+def store_replayed(spark, sf):
+    """Every ingest fails once between its files and its commit, then is done again, then again."""
+    store, rows = Store(spark, fresh(spark, "store")), stored(spark, sf)
+    store.declare(Aspect("event_value", "scaled_i64", 2))
+    commit = store._commit
+    for k in range(3):
+        part = rows.where(F.col("seal_seq") == k).select("ts", "value", F.create_map(F.lit("type"), "series_key").alias("tags"), F.col("row_seq").alias("seq"))
+        store._commit = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+        try:
+            store.ingest("event_value", part, key=f"seal-{k}")
+        except RuntimeError:
+            pass
+        store._commit = commit
+        for replayed in (False, True):
+            if store.ingest("event_value", part, key=f"seal-{k}").replayed != replayed:
+                raise AssertionError("a replay is answered from the log")
+    return store.read("event_value")
+
+
+@query(f"{STORED} WHERE NOT ts BETWEEN {BEGIN + 2 * DAY} AND {BEGIN + 4 * DAY} {NEWEST} UNION ALL SELECT 'event_value', 'type' || chr(31) || event_type, epoch_us(ts) - epoch_us(ts) % {HOUR}, -1.0::DOUBLE, 3, event_id FROM events WHERE epoch_us(ts) - epoch_us(ts) % {HOUR} BETWEEN {BEGIN + 2 * DAY} AND {BEGIN + 4 * DAY}")
+def store_replaced(spark, sf):
+    store, (a, b) = _store(spark, sf), (BEGIN + 2 * DAY, BEGIN + 4 * DAY)
+    new = stored(spark, sf).where(F.col("ts").between(a, b)).select("ts", F.lit(-1).cast("decimal(18,2)").alias("value"), F.create_map(F.lit("type"), "series_key").alias("tags"), F.col("row_seq").alias("seq"))
+    store.replace("event_value", new, a, b)
+    return store.read("event_value")
+
+
+@query(f"{STORED} WHERE true QUALIFY seal_seq = max(seal_seq) OVER (PARTITION BY series_key, ts) OR seal_seq = max(CASE WHEN value IS NOT NULL THEN seal_seq END) OVER (PARTITION BY series_key, ts)")
+def store_overlaps_merged(spark, sf):
+    store = _store(spark, sf)
+    store.merge_overlaps("event_value")
+    return store.rows("event_value").drop("part_day")
+
+
+@query(f"{STORED} WHERE value BETWEEN 20 AND 50.5")
+def store_value_band(spark, sf):
+    return _store(spark, sf).read_values("event_value", 20, 50.5)
+
+
+@query(f"{STORED} WHERE ts >= {BEGIN + 20 * DAY} {NEWEST}")
+def store_read_live(spark, sf):
+    """The aspect's own time to live, ten days, hides older rows from every read."""
+    store, rows = Store(spark, fresh(spark, "store"), clock=lambda: (BEGIN + 30 * DAY) * 1000), stored(spark, sf)
+    store.declare(Aspect("event_value", "scaled_i64", 2, ttl_nanos=10 * DAY * 1000))
+    for k in range(3):
+        store.ingest("event_value", rows.where(F.col("seal_seq") == k).select("ts", "value", F.create_map(F.lit("type"), "series_key").alias("tags"), F.col("row_seq").alias("seq")))
+    return store.read("event_value")
+
+
+@query(f"WITH {ST}, r AS (SELECT * FROM st WHERE true QUALIFY seal_seq = max(seal_seq) OVER (PARTITION BY series_key, ts)) SELECT 'type' || chr(31) || series_key AS series_key, ts - ts % {DAY} AS bucket, count(*) AS count, max(value)::DOUBLE AS max, sum(value)::DOUBLE AS sum FROM r WHERE value IS NOT NULL GROUP BY ALL")
+def store_rollup_refreshed(spark, sf):
+    """A tier that the last seal outran is rebuilt where that seal touches it, and serves."""
+    store, rows = Store(spark, fresh(spark, "store")), stored(spark, sf)
+    store.declare(Aspect("event_value", "scaled_i64", 2))
+    tiers = StoredRollups(store, "event_value")
+    for k in range(3):
+        store.ingest("event_value", rows.where(F.col("seal_seq") == k).select("ts", "value", F.create_map(F.lit("type"), "series_key").alias("tags"), F.col("row_seq").alias("seq")))
+        if k == 0:
+            tiers.materialize("6h")
+    if tiers.choose("1d", ["max", "sum"]) is not None or tiers.refresh() != ["6h"] or tiers.choose("1d", ["max", "sum"]) is None:
+        raise AssertionError("a stale tier is never served, a refreshed one is")
+    return tiers.downsample("1d", ["max", "sum"])
+
+
 @query(f"WITH {ST} SELECT seal_seq, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS rows FROM st WHERE seal_seq > 0 GROUP BY ALL")
 def store_changes(spark, sf):
     return _store(spark, sf).changes_since("event_value", 0)
