@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import Scratch, heavy_light_join, partitions
+from tempograin.llm.common import Scratch, heavy_light_join, lookup, partitions
 
 BUCKETS = 1 << 14
 #: About so many documents, chosen by hash in equal numbers for each language but at least LEAST, teach the trigram model; more
@@ -163,54 +163,87 @@ def identify(pages: DataFrame, languages: list[str], table: np.ndarray, smooth:
     spark = pages.sparkSession
     scratch = Scratch(spark, "language")
     sent, known, n = spark.sparkContext.broadcast(table), set(languages), len(languages)
+    texts, doubles = pa.string(), pa.list_(pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("page_id", "host", "domain", "suffix", "address_lang", "declared_lang", "text")}
+            out: dict[str, list] = {k: [] for k in ("page_id", "host", "domain", "suffix", "address_lang", "declared_lang", "text_lang", "text", "own")}
             for page, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"], strict=True):
                 text, declared = read_page(html.as_py())
-                for k, v in zip(out, (page, *address(url, known), declared if declared in known else None, text_scores(text, table)), strict=True):
+                scores, own = text_scores(text, table), None
+                if n and scores.max() > scores.min():
+                    own = np.exp(scores)
+                    own /= own.sum()
+                told = languages[int(scores.argmax())] if own is not None else None
+                for k, v in zip(out, (page, *address(url, known), declared if declared in known else None, told, scores, own), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("host", "domain", "suffix", "address_lang", "declared_lang")), pa.array(out["text"], pa.list_(pa.float64()))], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "page_id" else doubles if k in ("text", "own") else texts) for k, v in out.items()], names=list(out))
 
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    seen = p.mapInArrow(run, "page_id long, host string, domain string, suffix string, address_lang string, declared_lang string, text array<double>")
-    names = F.array(*[F.lit(x) for x in languages]).cast("array<string>")
-    likely = F.transform("text", lambda x: F.exp(x))
-    share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda a, y: a + y))
-    top = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
-    informed = F.array_max("text") > F.array_min("text")
-    seen = seen.withColumn("own", F.when(informed, share(likely)))
-    seen = scratch.table(seen.withColumn("text_lang", F.when(informed, top("own"))), "seen")
+    seen = scratch.table(p.mapInArrow(read, "page_id long, host string, domain string, suffix string, address_lang string, declared_lang string, text_lang string, text array<double>, own array<double>"), "seen")
     if not n:
         return seen.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), "text_lang", "declared_lang", "address_lang", "host")
 
-    # Counts by host, then summed upwards; the number of rows falls at the first step.
-    sums = [F.sum(F.coalesce(F.get("own", F.lit(i)), F.lit(0.0))).alias(f"c{i}") for i in range(n)]
-    up = [F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]
-    hosts = scratch.table(seen.groupBy("host", "domain", "suffix").agg(*sums, F.count("own").alias("m"), F.count(F.lit(1)).alias("rows")), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(*up, F.sum("m").alias("m"))
-    suffixes = hosts.groupBy("suffix").agg(*up, F.sum("m").alias("m"))
-    everything = hosts.agg(*up, F.sum("m").alias("m"), F.sum("rows").alias("rows")).first()
-    m, rows = (float(everything[k] or 0) for k in ("m", "rows"))
-    world = F.array(*[F.lit(((everything[f"c{i}"] or 0.0) + smooth / n) / (m + smooth)) for i in range(n)])
-    drawn = lambda above: F.array(*[(F.col(f"c{i}") + smooth * F.get(above, F.lit(i))) / (F.col("m") + smooth) for i in range(n)])
-    suffixes = suffixes.select("suffix", drawn(world).alias("p_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", drawn(F.col("p_suffix")).alias("p_domain"))
-    priors = hosts.join(domains, ["domain", "suffix"]).select("host", "rows", F.col("m").alias("host_m"), F.array(*[F.col(f"c{i}") for i in range(n)]).alias("host_c"), "p_domain")
-    priors = scratch.table(priors, "priors")
+    # Counts by host and language, then summed upwards; a language counts where a text gives it any share.
+    place = ["host", "domain", "suffix"]
+    counts = seen.where("own is not null").select(*place, F.posexplode("own").alias("i", "share")).where("share > 0")
+    counts = scratch.table(counts.groupBy(*place, "i").agg(F.sum("share").alias("c")), "counts")
+    pages_of = scratch.table(seen.groupBy(*place).agg(F.count("own").alias("m"), F.count(F.lit(1)).alias("rows")), "hosts")
+    listed = lambda keys, name: counts.groupBy(*keys, "i").agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.collect_list(F.struct("i", "c")).alias(f"{name}_c"))
+    summed = lambda keys, name: pages_of.groupBy(*keys).agg(F.sum("m").alias(f"{name}_m")).join(listed(keys, name), keys, "left")
+    m, rows = (float(x or 0) for x in pages_of.agg(F.sum("m"), F.sum("rows")).first())
+    world = np.full(n, smooth / n)
+    for r in counts.groupBy("i").agg(F.sum("c").alias("c")).collect():  # one row a language
+        world[r["i"]] += r["c"]
+    world /= m + smooth
+
+    def dense(pairs: list[dict] | None) -> np.ndarray:
+        out = np.zeros(n)
+        for x in pairs or ():
+            out[x["i"]] = x["c"]
+        return out
+
+    def smoothed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, prior = [], []
+            for r in batch.to_pylist():
+                p_suffix = (dense(r["suffix_c"]) + smooth * world) / (r["suffix_m"] + smooth)
+                prior.append(((dense(r["domain_c"]) + smooth * p_suffix) / (r["domain_m"] + smooth)).tobytes())
+                held.append(dense(r["host_c"]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["host"], batch["rows"], batch["m"], pa.array(held, pa.binary()), pa.array(prior, pa.binary())], names=["host", "rows", "host_m", "host_c", "p_domain"])
+
+    # A domain or suffix may have any number of hosts.
+    hosted = scratch.table(pages_of.join(listed(place, "host"), place, "left"), "hosted")
+    hosted = scratch.table(lookup(hosted, summed(["domain"], "domain"), "domain", F.col("host")), "in-domains")
+    priors = lookup(hosted, summed(["suffix"], "suffix"), "suffix", F.col("host"))
+    priors = scratch.table(priors.mapInArrow(smoothed, "host string, rows long, host_m long, host_c binary, p_domain binary"), "priors")
 
     # How often a declaration or an address agrees with the text where both speak.
     agree = lambda c: (F.count(F.when(F.col(c) == F.col("text_lang"), 1)), F.count(F.when(F.col(c).isNotNull() & F.col("text_lang").isNotNull(), 1)))
     told = seen.agg(*agree("declared_lang"), *agree("address_lang")).first()
     trust = [min(0.98, max(1.0 / n, (told[k] + 4.0) / (told[k + 1] + 5.0))) for k in (0, 2)]
-    says = lambda c, r: F.transform(names, lambda x: F.when(F.col(c).isNull(), F.lit(0.0)).when(F.col(c) == x, F.lit(float(np.log(r)))).otherwise(F.lit(float(np.log(max(1e-9, 1 - r) / max(1, n - 1))))))
+    at = {x: i for i, x in enumerate(languages)}
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, confidence = [], []
+            said = [batch[c].to_pylist() for c in ("declared_lang", "address_lang")]
+            for k in range(batch.num_rows):
+                total, own = np.array(batch["text"][k].as_py()), batch["own"][k].as_py()
+                count, above = (np.frombuffer(batch[c][k].as_py(), np.float64) for c in ("host_c", "p_domain"))
+                # A page's own count is left out of its prior.
+                count = np.maximum(count - own, 0.0) if own is not None else count
+                total += np.log((count + smooth * above) / (batch["host_m"][k].as_py() - (own is not None) + smooth))
+                for values, r in zip(said, trust, strict=True):
+                    if values[k] is not None:
+                        evidence = np.full(n, np.log(max(1e-9, 1 - r) / max(1, n - 1)))
+                        evidence[at[values[k]]] = np.log(r)
+                        total += evidence
+                belief = np.exp(total - total.max())
+                lang.append(languages[int(belief.argmax())])
+                confidence.append(round(float(belief.max() / belief.sum()), 6))
+            yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array(lang, texts), pa.array(confidence, pa.float64()), *(batch[c] for c in ("text_lang", "declared_lang", "address_lang", "host"))], names=["page_id", "lang", "confidence", "text_lang", "declared_lang", "address_lang", "host"])
 
     met = heavy_light_join(seen, priors, "host", "rows", int(rows), F.col("page_id"))
-    own = F.coalesce("own", F.array(*[F.lit(0.0)] * n))
-    prior = F.transform("host_c", lambda c, i: (F.greatest(c - F.get(own, i), F.lit(0.0)) + smooth * F.get("p_domain", i)) / (F.col("host_m") - F.col("own").isNotNull().cast("int") + smooth))
-    met = met.withColumn("prior", prior).withColumn("d", says("declared_lang", trust[0])).withColumn("a", says("address_lang", trust[1]))
-    met = met.withColumn("total", F.transform("text", lambda t, i: t + F.log(F.get("prior", i)) + F.get("d", i) + F.get("a", i)))
-    met = met.withColumn("belief", F.transform("total", lambda x: F.exp(x - F.array_max("total"))))
-    return met.select("page_id", top("belief").alias("lang"), F.round(F.array_max(share("belief")), 6).alias("confidence"), "text_lang", "declared_lang", "address_lang", "host")
+    return met.mapInArrow(fuse, "page_id long, lang string, confidence double, text_lang string, declared_lang string, address_lang string, host string")

@@ -209,6 +209,16 @@ def test_beliefs_against_brute_force(spark):
         assert got[i]["lang"] == languages[best] and got[i]["confidence"] == pytest.approx(e[best] / sum(e), abs=2e-6), i
 
 
+def test_a_thousand_languages(spark):
+    names = [f"l{k:03d}" for k in range(1000)]
+    rnd = np.random.default_rng(1)
+    table = np.log(rnd.dirichlet(np.full(language.BUCKETS, 0.3), 1000) + 1e-9).astype(np.float32)
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.site.com/", f"<html lang=l{i % 1000:03d}>some words of page {i}") for i in range(400)], "page_id long, url string, html string")
+    t = time.time()
+    got = language.identify(pages, names, table).collect()
+    assert len(got) == 400 and all(r["lang"] in names and 0 < r["confidence"] <= 1 for r in got) and time.time() - t < 60
+
+
 # 6. Owners.
 
 
@@ -275,3 +285,21 @@ def test_pages_without_a_broadcast(spark, tmp_path, monkeypatch):
     one = read()
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     assert read() == one and sum(one.values()) == 201
+
+
+# 3. Held-out accuracy on the test tables' own labels.
+
+
+def test_quality_on_held_out_labels(spark):
+    import os
+
+    at = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{at}/labels.parquet"):
+        pytest.skip("no test tables")
+    from tempograin.llm.queries import QUERIES
+
+    scored = QUERIES["op3_quality"](spark, at)
+    held = scored.join(spark.read.parquet(f"{at}/labels.parquet").where("quality is not null").select("doc_id", "quality"), "doc_id").where("held_out").select("score", "predicted", "quality").collect()
+    assert len(held) > 50 and sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.9
+    good, bad = ([r["score"] for r in held if r["quality"] == q] for q in (1, 0))
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.95
