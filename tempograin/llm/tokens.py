@@ -21,11 +21,17 @@ from pyspark.sql import functions as F
 from tempograin.llm.common import own_columns
 
 #: About so many texts say which pre-tokens are frequent; so many at most are broadcast, and so many at most come from one partition.
-SAMPLE, FREQUENT, PART = 2_000, 50_000, 20_000
-#: Entries of each of a worker's caches, after which it starts anew, and the longest stretch that is kept.
-CACHE, LONGEST = 500_000, 64
+SAMPLE, FREQUENT, PART = 2_000, 50_000, 2_000
+#: Entries of each of a worker's caches, after which it starts anew (under 250 MB), and the longest stretch that is kept.
+CACHE, LONGEST = 1_500_000, 64
+#: A word of Latin letters, which is one pre-token with the space before it, and perhaps marks, which are another.
+_WORD = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+#: How byte-level pre-tokens write a byte, printable Latin-1 as itself and the others in order from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+SPACE = BYTE_CHARS[0x20]
 #: A stretch begins at a space before something else: no pre-token reaches over such a place, whatever lies on its sides.
-_STRETCH = re.compile(r"(?= [^\s᠎])")
+_STRETCH = re.compile("(?= [^\\s\u180e])")
 
 
 def opened(path: str):
@@ -89,16 +95,24 @@ class Lengths(dict):
 
 
 class Stretches(dict):
-    """Counts of stretches by what follows their leading space."""
+    """Counts of stretches by what follows their leading space.  A plain word's own length isn't kept beside its stretch's."""
 
-    def __init__(self, count, most: int):
+    def __init__(self, lengths: Lengths, other, most: int):
         super().__init__()
-        self.count, self.most = count, most
+        self.lengths, self.first, self.tokenize, self.other, self.most = lengths, lengths.first, lengths.model.tokenize, other, most
 
     def __missing__(self, rest: str) -> int:
-        if not rest or rest[0].isspace() or rest[0] == "᠎":
+        plain = _WORD.fullmatch(rest)
+        if plain:
+            word, marks = plain.groups()
+            word = SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS))
+            n = self.first.get(word) or len(self.tokenize(word))
+            if marks:
+                n += self.lengths[marks]
+        elif not rest or rest[0].isspace() or rest[0] == "\u180e":
             raise Irregular
-        n = self.count(" " + rest)
+        else:
+            n = self.other(" " + rest)
         if len(rest) <= LONGEST:
             if len(self) >= self.most:
                 self.clear()
@@ -113,7 +127,7 @@ class Counter:
         self.tok = opened(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cut, self.lengths = self.tok.pre_tokenizer.pre_tokenize_str, Lengths(unpack(blob), self.tok.model, cache)
-        self.stretches = Stretches(self.stretch, cache)
+        self.stretches = Stretches(self.lengths, self.stretch, cache)
 
     def whole(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)

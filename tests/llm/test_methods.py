@@ -50,6 +50,7 @@ def test_tokens_of_all_scripts_go_through_the_tiers(spark):
     path = P.path("byte_bpe_50k.json")
     tok = tokens.opened(path)
     texts = ["日本語 のテキスト 😀 ok", "مرحبا بالعالم hello", "नमस्ते दुनिया", "a  b\n c\t d  ", " lead", "x y  z 　w", "᠎ a ᠎b", "tail ", "", " ", "  ", "'s it's I'll", "é" * 3000, "word" * 50_000, "\x1c a \x85b \x1db"]
+    texts += [f"x {chr(c)}a{chr(c)}, {chr(c)}" for c in range(0xA0, 0x260)] + [" naïve,;! straße.. ǀǁ: œuvre"]
     rnd = random.Random(4)
     parts = ["日", "😀", " ", "  ", "\n", "ا", "न", "́", "a", "B", "1", "!", "'s", "　", "\x1f", "‍", "﻿", "\U0001f468", "᠎", "ß"]
     texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25))) for _ in range(3000)]
