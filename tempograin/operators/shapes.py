@@ -10,17 +10,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograin.functions.grid import NANOS, floor_div
+from tempograin.functions.grid import NANOS, div, floor_div
+from tempograin.operators.chunks import CHUNK_ROWS, neighbours, running_count, with_chunks
 
 POINTS = "array<struct<x:double,y:double>>"
 
 
-def sliding(df: DataFrame, size: int = 100, group: Sequence[str] = (), unit: str = "us") -> DataFrame:
-    """Every window of exactly ``size`` consecutive points: group, begin, end, points with x in epoch seconds."""
-    w = Window.partitionBy(*group).orderBy("ts").rowsBetween(0, size - 1)
+def sliding(df: DataFrame, size: int = 100, group: Sequence[str] = (), unit: str = "us", rows: int = CHUNK_ROWS) -> DataFrame:
+    """Every window of exactly ``size`` consecutive points: group, begin, end, points with x in epoch seconds.
+
+    Rows are numbered and cut into runs of ``rows``; each run also has the first rows of the next one, so a long series is many tasks.  Instants are
+    unique in a group.
+    """
+    rows = max(rows, size)
     x = floor_div(F.col("ts"), max(1, 10**9 // NANOS[unit])).cast("double")
-    rows = df.withColumn("points", F.collect_list(F.struct(x.alias("x"), F.col("value").cast("double").alias("y"))).over(w)).withColumn("end", F.last("ts").over(w))
-    return rows.where(F.size("points") == size).select(*group, F.col("ts").alias("begin"), "end", "points")
+    kept = df.select(*group, "ts", F.struct(x.alias("x"), F.col("value").cast("double").alias("y")).alias("_point"))
+    kept = running_count(with_chunks(kept, group, "_cut"), group, ["ts"], F.col("_cut"), F.lit(True), "_i")
+    run = div(F.col("_i") - 1, rows)
+    shared = (F.pmod(F.col("_i") - 1, F.lit(rows)) < size - 1) & (run > 0)
+    kept = kept.withColumn("_own", run).withColumn("_run", F.explode(F.when(shared, F.array(run, run - 1)).otherwise(F.array(run))))
+    w = Window.partitionBy(*group, "_run").orderBy("ts").rowsBetween(0, size - 1)
+    kept = kept.withColumn("points", F.collect_list("_point").over(w)).withColumn("end", F.last("ts").over(w))
+    return kept.where((F.col("_own") == F.col("_run")) & (F.size("points") == size)).select(*group, F.col("ts").alias("begin"), "end", "points")
 
 
 def affected_windows(changes: DataFrame, base: int, step: int, size: int, latest: int | None = None, group: Sequence[str] = ()) -> DataFrame:
@@ -97,8 +108,7 @@ def resample(shape: Column, steps: int) -> Column:
 
 
 def slope_changes(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Rows (group, ts, value) at which the slope's sign changes, and both ends."""
-    w = Window.partitionBy(*group).orderBy("ts")
-    before = F.signum(F.col("value").cast("double") - F.lag("value").over(w).cast("double"))
-    after = F.signum(F.lead("value").over(w).cast("double") - F.col("value").cast("double"))
-    return df.withColumn("_b", before).withColumn("_a", after).where(F.col("_b").isNull() | F.col("_a").isNull() | (F.col("_a") != F.col("_b"))).drop("_a", "_b")
+    """Rows (group, ts, value; unique in ts) at which the slope's sign changes, and both ends."""
+    sign = lambda a, b: F.signum(F.col(b).cast("double") - F.col(a).cast("double"))
+    met = neighbours(df, group).withColumn("_b", sign("p", "value")).withColumn("_a", sign("value", "q"))
+    return met.where(F.col("_b").isNull() | F.col("_a").isNull() | (F.col("_a") != F.col("_b"))).select(*df.columns)

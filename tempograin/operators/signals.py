@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograin.functions.grid import div
-from tempograin.operators.chunks import same_join
+from tempograin.operators.chunks import carried, same_join, with_chunks
 
 TYPES = ("start", "mid", "end")
 
@@ -44,9 +44,9 @@ def signals(correlations: DataFrame, manifestations: DataFrame, occurrences: Dat
     pairs = correlations.select(*key, "step", "average_distance")
     men = same_join(pairs, manifestations, [*group, "event"]).select(*key, "step", F.col("start").alias("t"), F.lit(1).alias("side"), "start", "end", F.lit(None).cast("long").alias("occ"))
     occ = same_join(pairs, occurrences.select(*group, "pattern", F.col("end").alias("occ")), [*group, "pattern"]).select(*key, "step", F.col("occ").alias("t"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "occ")
-    both = men.unionByName(occ)
-    w = Window.partitionBy(*key).orderBy("t", "side")
-    both = both.withColumn("before", F.last("occ", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    # A manifestation comes before what occurs at the same instant, and carries no occurrence of its own.
+    both = men.unionByName(occ).withColumnRenamed("t", "ts").withColumn("row", F.monotonically_increasing_id())
+    both = carried(with_chunks(both, key, "cut"), key, ["ts", "side", "row"], F.col("cut"), {"before": F.col("occ")})
     at = {"start": F.col("start"), "mid": F.col("start") + div(F.col("end") - F.col("start"), 2), "end": F.col("end")}
     kinds = F.array(*[F.struct(F.lit(k).alias("signal_type"), div(x - F.col("before"), F.col("step")).alias("distance")) for k, x in at.items()])
     past = both.where("side = 1 and before is not null").select(*key, "step", F.col("start").alias("manifestation_start"), F.col("before").alias("date"), F.inline(kinds))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempograin.operators import compress, detect, joins, reads, signals, similarity, sketch
+from tempograin.operators import compress, detect, joins, reads, shapes, signals, similarity, sketch
 from tempograin.operators.chunks import neighbours, same_join, with_chunks
 from tempograin.operators.fill import fill
 from tempograin.operators.interpolate import interpolate, interpolate_point
@@ -175,3 +175,32 @@ def test_value_bounds_keep_their_digits(spark):
     d = spark.createDataFrame([("a", "", 1, Decimal("20.00"), 0, 0), ("a", "", 2, Decimal("20.01"), 0, 1)], "aspect string, series_key string, ts long, value decimal(18,2), seal_seq long, row_seq long")
     assert reads.value_range(d, 20.005, 21).count() == 1 and reads.value_range(d, 20, 20.01).count() == 2 and reads.value_range(d, "-1e30", "1e30").count() == 2
     assert same_join(d.select("ts"), d.select(F.max("ts").alias("top")), []).where("top = 2").count() == 2
+
+
+def test_sliding_windows_cross_runs(spark):
+    rnd = random.Random(1)
+    rows = [(g, 3 * t + rnd.randrange(3), float(t)) for g, n in (("a", 57), (None, 8), ("b", 4)) for t in range(n)]
+    for size, run in ((5, 5), (5, 7), (3, 1000), (4, 1)):
+        got = shapes.sliding(series(spark, rows), size, ["g"], "s", rows=run).collect()
+        want = {}
+        for g in ("a", None, "b"):
+            mine = sorted((t, v) for h, t, v in rows if h == g)
+            for k in range(len(mine) - size + 1):
+                want[g, mine[k][0]] = (mine[k + size - 1][0], [(float(t), v) for t, v in mine[k : k + size]])
+        assert {(r["g"], r["begin"]): (r["end"], [tuple(p) for p in r["points"]]) for r in got} == want and len(got) == len(want)
+
+
+def test_signals_of_a_long_key_cross_chunks(spark, monkeypatch):
+    from tempograin.operators import chunks
+
+    rnd = random.Random(2)
+    men = sorted({rnd.randrange(10_000) for _ in range(300)})
+    occ = [(rnd.randrange(2), rnd.randrange(10_000)) for _ in range(700)]
+    m = spark.createDataFrame([("e", s, s + 3) for s in men], "event string, start long, end long")
+    o = spark.createDataFrame([(p, e - 5, e) for p, e in occ], "pattern int, begin long, end long")
+    c = signals.correlate(m, o.select("pattern").distinct().withColumn("step", F.lit(10).cast("long")))
+    want = {(p, s, max(e for q, e in occ if q == p and e < s)) for p in range(2) for s in men if any(q == p and e < s for q, e in occ)}
+    for rows in (65_536, 20):
+        monkeypatch.setattr(chunks.with_chunks, "__defaults__", (None, rows))
+        got = signals.signals(c, m, o).where("signal_type = 'start' and not forward").collect()
+        assert {(r["pattern"], r["manifestation_start"], r["date"]) for r in got} == want and len(got) == len(want)
