@@ -787,6 +787,15 @@ def csv_round_trip(spark, sf):
     return formats.read_csv(spark, at).drop("seq")
 
 
+@query("SELECT epoch_us(ts) AS ts, CASE WHEN event_id % 11 <> 0 THEN value::DECIMAL(18,2)::DOUBLE END AS value FROM events")
+def csv_columns(spark, sf):
+    """Two columns of a file with others, semicolons, time texts, and values that are no numbers."""
+    at = fresh(spark, "columns")
+    value = F.when(F.col("seq") % 11 != 0, F.col("value").cast("string")).otherwise(F.lit("?"))
+    events(spark, sf).select("event_type", F.date_format(moment("ts"), "yyyy/MM/dd HH:mm:ss.SSSSSS").alias("Time of day"), value.alias("P (kW)")).write.option("header", True).option("sep", ";").csv(at)
+    return formats.read_columns(spark, at, "Time of day", "P (kW)", ";", format="yyyy/MM/dd HH:mm:ss.SSSSSS").drop("seq")
+
+
 @query(SAME)
 def parquet_round_trip(spark, sf):
     at = fresh(spark, "parquet")
@@ -909,6 +918,63 @@ def store_overlaps_merged(spark, sf):
     return store.rows("event_value").drop("part_day")
 
 
+@query(f"{STORED} WHERE true {NEWEST}")
+def store_reconciled(spark, sf):
+    store = _store(spark, sf)
+    store.reconcile_all(-1)
+    return store.read("event_value")
+
+
+@query(f"{STORED} WHERE true {NEWEST}")
+def store_compacted(spark, sf):
+    store = _store(spark, sf)
+    store.squash("event_value", 500)
+    return store.read("event_value")
+
+
+@query(f"{STORED} WHERE NOT ts BETWEEN {BEGIN + 2 * DAY} AND {BEGIN + 4 * DAY} {NEWEST}")
+def store_cleared(spark, sf):
+    store = _store(spark, sf)
+    store.clear("event_value", BEGIN + 2 * DAY, BEGIN + 4 * DAY)
+    return store.read("event_value")
+
+
+@query(f"WITH {ST} SELECT 'event_value' AS aspect, 'scaled_i64' AS encoding, 'us' AS unit, 3::BIGINT AS commits, count(*) AS rows, min(ts) AS earliest, max(ts) AS latest FROM st")
+def store_catalog(spark, sf):
+    return _store(spark, sf).catalog()
+
+
+@query(f"""WITH {ST}, n AS (SELECT * FROM st WHERE ts BETWEEN {BEGIN + 2 * DAY - DAY} AND {BEGIN + 3 * DAY + DAY} QUALIFY seal_seq = max(seal_seq) OVER (PARTITION BY series_key, ts)),
+hr AS (SELECT 'type' || chr(31) || series_key AS event_type, ts, arg_max(value, row_seq)::DOUBLE AS value FROM n WHERE value IS NOT NULL GROUP BY ALL),
+g AS (SELECT event_type, unnest(generate_series({BEGIN + 2 * DAY}, {BEGIN + 3 * DAY}, 600000000)) AS ts FROM (SELECT DISTINCT event_type FROM hr)), {lagrange(2)}""")
+def store_interpolated(spark, sf):
+    """Knots within the range's own length of it, as no margin is said; the grid comes in parts."""
+    parts = list(_store(spark, sf).interpolated_parts("event_value", "10m", BEGIN + 2 * DAY, BEGIN + 3 * DAY, points=50, method="linear"))
+    made = parts[0]
+    for p in parts[1:]:
+        made = made.unionByName(p)
+    return made.withColumnRenamed("series_key", "event_type").withColumn("value", rounded("value"))
+
+
+@query(f"WITH {ST}, c AS (SELECT seal_seq, min(ts) AS lo, max(ts) AS hi FROM st WHERE seal_seq = 2 GROUP BY ALL) SELECT DISTINCT {BEGIN} + i * {HOUR} AS \"window\" FROM c, range(0, 800) t(i) WHERE {BEGIN} + i * {HOUR} <= hi AND {BEGIN} + (i + 23) * {HOUR} >= lo AND {BEGIN} + (i + 23) * {HOUR} <= {BEGIN + 29 * DAY}")
+def store_windows_to_rebuild(spark, sf):
+    """Windows that changes since the acknowledged seal touch."""
+    store = _store(spark, sf)
+    store.ack_changes("event_value", 1)
+    return streams.changed_windows(store.pending_changes("event_value"), BEGIN, HOUR, 24, BEGIN + 29 * DAY)
+
+
+@query(f"WITH {ST}, n AS (SELECT * FROM st WHERE seal_seq < 2 QUALIFY seal_seq = max(seal_seq) OVER (PARTITION BY series_key, ts)), d AS (SELECT 'type' || chr(31) || series_key AS series_key, ts - ts % {DAY} AS ts FROM n WHERE value IS NOT NULL GROUP BY ALL), z AS (SELECT series_key, min(ts) AS a, max(ts) AS b FROM d GROUP BY ALL) SELECT series_key, unnest(generate_series(a, b - {3 * DAY}, {DAY})) AS begin, 4::BIGINT AS n FROM z")
+def store_batches(spark, sf):
+    """All batches of the first two seals; after they are done, those of the first seal alone would be none."""
+    store, rows = Store(spark, fresh(spark, "store")), stored(spark, sf)
+    store.declare(Aspect("event_value", "scaled_i64", 2))
+    for k in range(2):
+        store.ingest("event_value", rows.where(F.col("seal_seq") == k).select("ts", "value", F.create_map(F.lit("type"), "series_key").alias("tags"), F.col("row_seq").alias("seq")))
+    made, head = streams.Batches(store, "event_value", "1d", 4).unprocessed()
+    return made.select("series_key", "begin", F.size("points").cast("long").alias("n"))
+
+
 @query(f"{STORED} WHERE value BETWEEN 20 AND 50.5")
 def store_value_band(spark, sf):
     return _store(spark, sf).read_values("event_value", 20, 50.5)
