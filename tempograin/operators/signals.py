@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograin.functions.grid import div
-from tempograin.operators.chunks import carried, same_join, with_chunks
+from tempograin.operators.chunks import CHUNK_ROWS, carried, same_join
+from tempograin.plans.scratch import written
 
 TYPES = ("start", "mid", "end")
 
@@ -46,12 +47,14 @@ def signals(correlations: DataFrame, manifestations: DataFrame, occurrences: Dat
     occ = same_join(pairs, occurrences.select(*group, "pattern", F.col("end").alias("occ")), [*group, "pattern"]).select(*key, "step", F.col("occ").alias("t"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "occ")
     # A manifestation comes before what occurs at the same instant, and carries no occurrence of its own.
     both = men.unionByName(occ).withColumnRenamed("t", "ts").withColumn("row", F.monotonically_increasing_id())
-    both = carried(with_chunks(both, key, "cut"), key, ["ts", "side", "row"], F.col("cut"), {"before": F.col("occ")})
+    both = written(both, "signals")  # it is read for the chunks, their summaries, the rows and what lies ahead
+    occ, latest = both.where("side = 2"), both.where("side = 1").groupBy(*group, "event").agg(F.max("end").alias("latest"))
+    # Patterns occur once a step or so, which bounds what a chunk of so many steps holds.
+    both = carried(both, key, ["ts", "side", "row"], F.floor(F.col("ts") / (F.col("step") * CHUNK_ROWS)), {"before": F.col("occ")})
     at = {"start": F.col("start"), "mid": F.col("start") + div(F.col("end") - F.col("start"), 2), "end": F.col("end")}
     kinds = F.array(*[F.struct(F.lit(k).alias("signal_type"), div(x - F.col("before"), F.col("step")).alias("distance")) for k, x in at.items()])
     past = both.where("side = 1 and before is not null").select(*key, "step", F.col("start").alias("manifestation_start"), F.col("before").alias("date"), F.inline(kinds))
     least = past.where("signal_type = 'start' and distance > 0").groupBy(*key, "signal_type").agg(F.min("distance").alias("distance"))
-    latest = manifestations.groupBy(*group, "event").agg(F.max("end").alias("latest"))
     ahead = same_join(same_join(occ, latest, [*group, "event"]).where("occ > latest"), least, key)
     ahead = ahead.select(*key, "step", F.lit(None).cast("long").alias("manifestation_start"), F.col("occ").alias("date"), "signal_type", "distance")
     return past.withColumn("forward", F.lit(False)).unionByName(ahead.withColumn("forward", F.lit(True)))

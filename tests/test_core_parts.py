@@ -191,8 +191,6 @@ def test_sliding_windows_cross_runs(spark):
 
 
 def test_signals_of_a_long_key_cross_chunks(spark, monkeypatch):
-    from tempograin.operators import chunks
-
     rnd = random.Random(2)
     men = sorted({rnd.randrange(10_000) for _ in range(300)})
     occ = [(rnd.randrange(2), rnd.randrange(10_000)) for _ in range(700)]
@@ -201,6 +199,6 @@ def test_signals_of_a_long_key_cross_chunks(spark, monkeypatch):
     c = signals.correlate(m, o.select("pattern").distinct().withColumn("step", F.lit(10).cast("long")))
     want = {(p, s, max(e for q, e in occ if q == p and e < s)) for p in range(2) for s in men if any(q == p and e < s for q, e in occ)}
     for rows in (65_536, 20):
-        monkeypatch.setattr(chunks.with_chunks, "__defaults__", (None, rows))
+        monkeypatch.setattr(signals, "CHUNK_ROWS", rows)
         got = signals.signals(c, m, o).where("signal_type = 'start' and not forward").collect()
         assert {(r["pattern"], r["manifestation_start"], r["date"]) for r in got} == want and len(got) == len(want)
