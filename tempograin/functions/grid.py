@@ -143,6 +143,24 @@ def moment(ts: str, unit: str = "us") -> Column:
     return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast({micros} as decimal(18,6)))")
 
 
+#: Fixed value: a date and time with an offset, as RFC 3339 has it.
+RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+
+
+def instant(text: str, unit: str = "us") -> Column:
+    """The epoch of an RFC 3339 text in any offset, to the microsecond; null stays null, anything else is an error."""
+    t = F.col(f"`{text}`")
+    at = F.unix_micros(F.try_to_timestamp(F.upper(F.regexp_replace(t, r"(\.\d{6})\d+", "$1"))))
+    found = F.when(t.rlike(RFC3339), at)
+    micros = F.when(t.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("not an RFC 3339 time: "), t)).cast("long")).otherwise(found)
+    return micros if unit == "us" else micros * F.lit(1000) if unit == "ns" else floor_div(micros, NANOS[unit] // 1000)
+
+
+def rfc3339(ts: str, unit: str = "us") -> Column:
+    """An integer epoch as an RFC 3339 text in UTC, with six digits of the second."""
+    return F.concat(F.date_format(moment(ts, unit), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
 def units_between(later: Column, earlier: Column, res: str, unit: str = "us") -> Column:
     """Whole steps of a resolution from ``earlier`` to ``later``, truncated toward zero."""
     step, tick = RESOLUTIONS[res], NANOS[unit]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograin.functions import decimals, intervals, tags
-from tempograin.functions.grid import Width, bucket_index, bucket_start, convert_distance, epoch, moment, panel_width, units_between
+from tempograin.functions.grid import Width, bucket_index, bucket_start, convert_distance, epoch, instant, moment, panel_width, rfc3339, units_between
 from tempograin.operators import compress as cp
 from tempograin.operators import detect, joins, reads, shapes, signals, similarity, sketch
 from tempograin.operators.chunks import neighbours
@@ -235,6 +235,14 @@ def scalar_units(spark, sf):
     return e.select("seq", hours.alias("hours"), convert_distance(hours, "hours", "months").alias("months"), units_between(F.col("ts"), F.lit(BEGIN), "nanoseconds").alias("nanos"), moment("ts").alias("at"))
 
 
+@query(f"WITH {EV} SELECT seq, ts, strftime(make_timestamp(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS text FROM ev")
+def rfc3339_times(spark, sf):
+    e = events(spark, sf)
+    east = F.concat(F.date_format(moment("later"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789+05:30"))  # nine digits, another offset
+    e = e.withColumn("later", F.col("ts") + 5 * HOUR + HOUR // 2).withColumn("text", F.when(F.col("seq") % 2 == 0, east).otherwise(rfc3339("ts")))
+    return e.withColumn("ts", instant("text")).select("seq", "ts", rfc3339("ts").alias("text"))
+
+
 # Gap fill.
 FILL = f"""WITH {HR}, g AS (SELECT event_type, unnest(generate_series(a, b, {HOUR})) AS ts FROM (SELECT event_type, min(ts) AS a, max(ts) AS b FROM hr GROUP BY ALL)),
 n AS (SELECT event_type, ts, count(*) AS count FROM (SELECT event_type, ts - ts % {HOUR} AS ts FROM ev) GROUP BY ALL),
@@ -811,6 +819,20 @@ def json_ingest_bodies(spark, sf):
     return formats.read_json(spark, at).select("ts", "value")
 
 
+@query(f"WITH {EV} SELECT 'm' AS aspect, 'type' || chr(31) || event_type AS series_key, ts, value::DOUBLE AS value FROM ev")
+def json_ingested(spark, sf):
+    """A body for each event type, with RFC 3339 times, twice; its batch_id is its key."""
+    at, store = fresh(spark, "bodies"), Store(spark, fresh(spark, "store"))
+    store.declare(Aspect("m", "scaled_i64", 2))
+    point = F.struct(rfc3339("ts").alias("timestamp"), F.col("value").cast("string").alias("value"), "seq")
+    body = events(spark, sf).groupBy("event_type").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    body.select("points", F.create_map(F.lit("type"), "event_type").alias("tags"), F.col("event_type").alias("batch_id"), F.lit(1000).alias("rows_per_page"), F.lit(True).alias("require_sorted")).write.json(at)
+    for replayed in (False, True):
+        if {r.replayed for r in formats.ingest_json(store, "m", at, "rfc3339")} != {replayed}:
+            raise AssertionError("bodies are ingested once")
+    return store.read("m").select("aspect", "series_key", "ts", "value")
+
+
 @query(SAME)
 def arrow_round_trip(spark, sf):
     return formats.from_ipc(spark, formats.to_ipc(_points(spark, sf)))

@@ -202,3 +202,15 @@ def test_signals_of_a_long_key_cross_chunks(spark, monkeypatch):
         monkeypatch.setattr(signals, "CHUNK_ROWS", rows)
         got = signals.signals(c, m, o).where("signal_type = 'start' and not forward").collect()
         assert {(r["pattern"], r["manifestation_start"], r["date"]) for r in got} == want and len(got) == len(want)
+
+
+def test_rfc3339(spark):
+    from tempograin.functions.grid import instant, rfc3339
+
+    texts = ["2024-01-01T00:00:00Z", "2024-01-01t05:30:00.5+05:30", "1969-12-31T23:59:59.999999z", None, "2024-02-29T12:00:00.1234567-01:00"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select(instant("t").alias("us"), instant("t", "s").alias("s"))
+    assert [tuple(r) for r in d.collect()] == [(1_704_067_200_000_000, 1_704_067_200), (1_704_067_200_500_000, 1_704_067_200), (-1, -1), (None, None), (1_709_211_600_123_456, 1_709_211_600)]
+    assert spark.range(1).select(F.lit(-1).cast("long").alias("x")).select(rfc3339("x")).first()[0] == "1969-12-31T23:59:59.999999Z"
+    for bad in ("2024-01-01", "2024-01-01T00:00:00", "2024-13-01T00:00:00Z", "now"):
+        with pytest.raises(Exception, match="RFC 3339"):
+            spark.createDataFrame([(bad,)], "t string").select(instant("t")).collect()
