@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tempograin.functions.grid import NANOS, div, floor_div
 from tempograin.operators.chunks import CHUNK_ROWS, neighbours, running_count, with_chunks
 
+#: Share of its terms below which a difference is rounding.
+ROUNDING = 1e-13
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -63,10 +65,15 @@ def positions(points: Column) -> Column:
 
 
 def level(points: Column) -> Column:
-    """Tilted so that both ends lie at 0: first the start is taken off, fading to the end, then what the end then is, fading to the start."""
+    """Tilted so that both ends lie at 0: first the start is taken off, fading to the end, then what the end then is, fading to the start.
+
+    What only rounding leaves of a point is 0, so that a straight line has no shape.
+    """
     a, b = F.element_at(points, 1), F.element_at(points, -1)
     at = lambda p: (p["x"] - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
-    return _map(points, y=lambda p, i: p["y"] - a["y"] * (1 - at(p)) - b["y"] * at(p))
+    left = lambda p: p["y"] - a["y"] * (1 - at(p)) - b["y"] * at(p)
+    noise = lambda p: (F.abs(p["y"]) + F.abs(a["y"]) + F.abs(b["y"])) * ROUNDING
+    return _map(points, y=lambda p, i: F.when(F.abs(left(p)) <= noise(p), F.lit(0.0)).otherwise(left(p)))
 
 
 def to_origin(points: Column) -> Column:
