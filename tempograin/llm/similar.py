@@ -33,7 +33,7 @@ ROWS, SURE = 6, 0.9999
 #: Least bits of a set's sketch.
 BITS = 2048
 #: Members of a bucket that one task compares with each other; a larger bucket is compared block by block.
-BLOCK = 256
+BLOCK = 4096
 #: Rounds in which a bucket sends a forest; one that still has failing links then sends all that are left.
 FORESTS = 1
 #: Links of one text that are verified with one shipped copy of it.
