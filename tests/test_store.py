@@ -249,3 +249,13 @@ def test_runs_that_fail_fail_alone(spark):
         r.detectors.register_builtin("peaks", everywhere=True)
     done, failed = run_many(runs)
     assert set(done) == {"a", "c"} and set(failed) == {"b"} and done["a"].patterns.count() > 0
+
+
+def test_files_are_created_once_through_renames_too(spark, tmp_path):
+    """As on file systems other than the local one, where a rename refuses to overwrite."""
+    store = opened(spark, tmp_path)
+    store._local = None
+    assert store._put("x/a.json", {"n": 1}) and not store._put("x/a.json", {"n": 2}) and store._get("x/a.json") == {"n": 1}
+    assert store._put("x/a.json", {"n": 3}, overwrite=True) and store._get("x/a.json") == {"n": 3} and store._list("x") == ["a.json"]
+    store.ingest("m", points(spark, [(1, 1)]), key="k")
+    assert store.ingest("m", points(spark, [(1, 1)]), key="k").replayed and held(store) == [(1, 1.0)]
