@@ -1034,9 +1034,10 @@ def store_changes(spark, sf):
 
 @query(SAME)
 def stream_ingest(spark, sf):
+    """An event is a series by its id, so none is a newer version of another that falls on the same instant."""
     at, store = fresh(spark, "stream"), Store(spark, fresh(spark, "store"))
     store.declare(Aspect("event_value"))
-    e = _points(spark, sf)
+    e = events(spark, sf).select("ts", "value", F.create_map(F.lit("event"), F.col("seq").cast("string")).alias("tags"), "seq")
     e.repartition(4).write.parquet(f"{at}/in")
     source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     streams.ingest_stream(source, store, "event_value", f"{at}/checkpoint").awaitTermination()
