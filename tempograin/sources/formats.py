@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tempograin.functions.decimals import is_decimal
 from tempograin.functions.grid import instant
-from tempograin.sources.store import Receipt, Store
+from tempograin.plans.scratch import written
+from tempograin.sources.store import Body, Receipt, Store
 
 KIND = "decimal(38,18)"
 
@@ -51,16 +52,18 @@ def read_json(spark: SparkSession, path: str, kind: str = KIND) -> DataFrame:
 def ingest_json(store: Store, aspect: str, path: str, times: str = "epoch", most: int = 1000, kind: str = KIND) -> list[Receipt]:
     """Seal each ingest body of a file or folder by itself, in the order of batch_id: its rows_per_page bounds files, require_sorted refuses rows that go back, batch_id is its key.
 
-    ``times`` says whether timestamps are epochs or RFC 3339 texts.  A body is a request, of which there may be ``most``.
+    ``times`` says whether timestamps are epochs or RFC 3339 texts.  A body is a request, of which there may be ``most``; it is one line, which one task parses.
+    All bodies are parsed once and sealed by the same few jobs.
     """
     fields = f"points array<struct<timestamp:{'long' if times == 'epoch' else 'string'},value:string>>, tags map<string,string>, batch_id string, rows_per_page long, require_sorted boolean"
     raw = store.spark.read.schema(fields).option("mode", "FAILFAST").json(path).withColumn("body", F.monotonically_increasing_id())
     bodies = raw.select("body", "batch_id", "rows_per_page", "require_sorted").orderBy("batch_id", "body").limit(most + 1).collect()
     if len(bodies) > most:
         raise ValueError(f"more than {most} bodies")
-    rows = raw.select("body", "tags", F.posexplode("points").alias("seq", "p")).select("body", "tags", F.col("p.timestamp").alias("at"), finite(F.col("p.value"), kind).alias("value"), F.col("seq").cast("long").alias("seq"))
-    rows = rows.withColumn("ts", F.col("at") if times == "epoch" else instant("at", store.aspect(aspect).unit)).drop("at")
-    return [store.ingest(aspect, rows.where(F.col("body") == b["body"]).drop("body"), b["batch_id"], bool(b["require_sorted"]), b["rows_per_page"]) for b in bodies]
+    rows = written(raw.select("body", "tags", F.posexplode("points").alias("seq", "p")).select("body", "tags", F.col("p.timestamp").alias("at"), F.col("p.value").alias("text"), F.col("seq").cast("long").alias("seq")), "points")
+    at = F.col("at") if times == "epoch" else instant("at", store.aspect(aspect).unit)
+    rows = rows.select("body", "tags", at.alias("ts"), finite(F.col("text"), kind).alias("value"), "seq")
+    return store.ingest_bodies(aspect, rows, [Body(b["body"], b["batch_id"], bool(b["require_sorted"]), b["rows_per_page"]) for b in bodies])
 
 
 def write_json(df: DataFrame, path: str) -> None:

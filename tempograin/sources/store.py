@@ -64,6 +64,16 @@ class Receipt:
     series: list[str] = field(default_factory=list)
 
 
+@dataclass(frozen=True)
+class Body:
+    """One of the ingests that :meth:`Store.ingest_bodies` takes together: the number that its rows bear, and what an ingest of them is told."""
+
+    number: int
+    key: str | None = None
+    require_sorted: bool = False
+    most_rows_per_file: int | None = None
+
+
 class Conflict(RuntimeError):
     """Another writer has replaced what this one worked on."""
 
@@ -232,13 +242,13 @@ class Store:
             rows = rows.where(F.col("part_day") <= F.lit(end // day))
         return self._alive(a, rows).drop("part_day")
 
-    def _write(self, aspect: str, attempt: str, rows: DataFrame, most: int | None = None) -> None:
+    def _write(self, aspect: str, attempt: str, rows: DataFrame, most: int | None = None, by: Sequence[str] = ("part_day",)) -> None:
         """Files sorted by day, series and instant, of even size however the rows fall: a day with most rows is many tasks."""
-        order = ("part_day", "series_key", "ts", "row_seq")
+        order = (*by, "series_key", "ts", "row_seq")
         out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write
-        (out.option("maxRecordsPerFile", most) if most else out).partitionBy("part_day").parquet(self._data(aspect, attempt))
+        (out.option("maxRecordsPerFile", most) if most else out).partitionBy(*by).parquet(self._data(aspect, attempt))
 
-    def _prepared(self, a: Aspect, points: DataFrame) -> DataFrame:
+    def _prepared(self, a: Aspect, points: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Points as rows: checked tags, and values that the encoding holds, as exact decimals."""
         df = points.withColumn("tags", F.create_map().cast("map<string,string>")) if "tags" not in points.columns else points
         df = df.withColumn("seq", F.monotonically_increasing_id()) if "seq" not in df.columns else df
@@ -247,15 +257,23 @@ class Store:
             df = df.withColumn("tags", F.when(F.coalesce(odd, F.lit(False)), F.raise_error(F.lit("a tag outside the upsert keys"))).otherwise(F.col("tags")))
         value = F.col("value").cast("string") if a.encoding == "text" else decode(checked(F.col("value"), a.encoding, a.scale, a.tolerance), a.encoding, a.scale)
         day = 86_400 * 10**9 // NANOS[a.unit]
-        return df.select(series_key(F.col("tags")).alias("series_key"), F.col("ts").cast("long").alias("ts"), value.cast("decimal(38,18)").alias("value"), F.col("seq").cast("long").alias("row_seq"), floor_div(F.col("ts"), day).alias("part_day"))
+        return df.select(*keep, series_key(F.col("tags")).alias("series_key"), F.col("ts").cast("long").alias("ts"), value.cast("decimal(38,18)").alias("value"), F.col("seq").cast("long").alias("row_seq"), floor_div(F.col("ts"), day).alias("part_day"))
 
     @staticmethod
-    def _mark(made: DataFrame, ordered: bool) -> tuple:
-        """Rows, their fingerprint, and the range of their instants."""
+    def _marks(made: DataFrame, ordered: bool, by: Sequence[str] = ()) -> dict[tuple, tuple]:
+        """Rows, their fingerprint, and the range of their instants, for each value of ``by``."""
         hashed = F.xxhash64("series_key", "ts", "value")
-        m = made.agg(F.count(F.lit(1)), F.bit_xor(hashed), F.sum(F.pmod(hashed, F.lit(1 << 31))), F.bit_xor(F.xxhash64(hashed, "row_seq")) if ordered else F.lit(0), F.min("ts"), F.max("ts")).first()
+        found = made.groupBy(*by).agg(F.count(F.lit(1)), F.bit_xor(hashed), F.sum(F.pmod(hashed, F.lit(1 << 31))), F.bit_xor(F.xxhash64(hashed, "row_seq")) if ordered else F.lit(0), F.min("ts"), F.max("ts"))
+        return {tuple(r)[: len(by)]: Store._marked(tuple(r)[len(by) :]) for r in found.collect()}  # a row each
+
+    @staticmethod
+    def _marked(m: tuple) -> tuple:
         return m[0], hashlib.sha256(repr(tuple(map(str, m))).encode()).hexdigest(), m[4], m[5]
 
+    @staticmethod
+    def _mark(made: DataFrame, ordered: bool) -> tuple:
+        return Store._marks(made, ordered)[()]
+
     def ingest(self, aspect: str, points: DataFrame, key: str | None = None, require_sorted: bool = False, most_rows_per_file: int | None = None, replacing: tuple[int | None, int | None] | None = None) -> Receipt:
         """Append ``points`` (ts, value[, tags][, seq]) as a new seal, all or nothing.
 
@@ -274,15 +292,68 @@ class Store:
         attempt = uuid.uuid4().hex
         self._write(aspect, attempt, made, most_rows_per_file)
         written = self.spark.read.schema(ROWS).option("basePath", self._data(aspect)).parquet(self._data(aspect, attempt))
-        rows, mark, lo, hi = self._mark(written, ordered)
+        return self._seal(aspect, attempt, self._mark(written, ordered), key, log, replacing)
+
+    def _seal(self, aspect: str, attempt: str, mark: tuple, key: str | None, log: list[dict] | None = None, replacing: tuple[int | None, int | None] | None = None) -> Receipt:
+        """Commit a written attempt, unless its key is known by now.  A ``log`` gets what was committed, for the next one."""
+        rows, fingerprint, lo, hi = mark
         start, end = replacing or (None, None)
 
         def entry(log: list[dict]) -> dict:
             span = {"start": start, "end": end} if replacing else {}
-            return self._keyed(log, key) or {"kind": "replace" if replacing else "ingest", "seal_seq": self._next_seal(log), "attempt": attempt, "rows": rows, "min_ts": lo, "max_ts": hi, "key": key, "fingerprint": mark, **span}
+            return self._keyed(log, key) or {"kind": "replace" if replacing else "ingest", "seal_seq": self._next_seal(log), "attempt": attempt, "rows": rows, "min_ts": lo, "max_ts": hi, "key": key, "fingerprint": fingerprint, **span}
 
         done, mine = self._commit(aspect, entry, log)
-        return Receipt(done["seal_seq"], rows) if mine else self._replayed(done, key, mark)
+        if mine and log is not None:
+            log[:] = [*log, done] if done["number"] == len(log) else self._log(aspect)
+        return Receipt(done["seal_seq"], rows) if mine else self._replayed(done, key, fingerprint)
+
+    def ingest_bodies(self, aspect: str, points: DataFrame, bodies: Sequence[Body]) -> list[Receipt]:
+        """Seal each body of ``points`` (body, ts, value, seq[, tags]) by itself and in the order given, as an :meth:`ingest` of each would, by jobs that all bodies share.
+
+        Nothing is committed before all are written. If one is refused they are halved, so those before it are sealed and its own error is raised.
+        ``points`` is read several times and must be the same each time.
+        """
+        if not bodies:
+            return []
+        a, log = self.aspect(aspect), self._log(aspect)
+        known = {c["key"]: c for c in log if c.get("key") is not None}
+        new = {b.number: uuid.uuid4().hex for b in bodies if b.key not in known}
+        try:
+            made = self._prepared(a, points.where(F.col("body").isin([b.number for b in bodies])), ["body"])
+            if strict := [b.number for b in bodies if b.require_sorted]:
+                bad = reads.order_violations(made.where(F.col("body").isin(strict)).withColumn("seal_seq", F.lit(0)), ["body", "series_key", "seal_seq"]).first()
+                if bad:
+                    raise ValueError(f"row {bad['row_seq']} goes back from {bad['previous']} to {bad['current']}")
+            marks: dict[tuple, tuple] = {}
+            if len(new) < len(bodies):
+                marks |= self._marks(made.where(~F.col("body").isin(list(new))) if new else made, True, ["body"])
+            for most in {b.most_rows_per_file for b in bodies if b.number in new}:
+                self._write_attempts(aspect, made, {b.number: new[b.number] for b in bodies if b.number in new and b.most_rows_per_file == most}, most)
+            if new:
+                written = self.spark.read.schema(ROWS).option("basePath", self._data(aspect)).parquet(*[self._data(aspect, x) for x in new.values()])
+                marks |= self._marks(written, True, ["attempt"])
+        except Exception:
+            if len(bodies) == 1:
+                raise
+            half = len(bodies) // 2
+            return self.ingest_bodies(aspect, points, bodies[:half]) + self.ingest_bodies(aspect, points, bodies[half:])
+        out, none = [], self._marked((0, *[None] * 5))
+        for b in bodies:
+            mark = marks.get((new.get(b.number, b.number),), none)
+            out.append(self._seal(aspect, new[b.number], mark, b.key, log) if b.number in new else self._replayed(known[b.key], b.key, mark[1]))
+        return out
+
+    def _write_attempts(self, aspect: str, made: DataFrame, attempts: dict[int, str], most: int | None) -> None:
+        """Each body's rows as an attempt of its own: written together below one that nothing will name, then moved out of it."""
+        stage = uuid.uuid4().hex
+        small = self.spark.createDataFrame(list(attempts.items()), "body long, attempt string")
+        self._write(aspect, stage, made.join(F.broadcast(small), "body").drop("body"), most, ("attempt", "part_day"))  # a row for each body
+        for x in attempts.values():
+            source, target = self._path(f"{self._data(aspect, stage)}/attempt={x}"), self._path(self._data(aspect, x))
+            if not (self._fs.rename(source, target) if self._fs.exists(source) else self._fs.mkdirs(target)):
+                raise OSError(f"{source} wasn't moved to {target}")
+        self._fs.delete(self._path(self._data(aspect, stage)), True)
 
     @staticmethod
     def _keyed(log: list[dict], key: str | None) -> dict | None:
