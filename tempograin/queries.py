@@ -838,7 +838,9 @@ def json_ingested(spark, sf):
 
 @query(SAME)
 def arrow_round_trip(spark, sf):
-    return formats.from_ipc(spark, formats.to_ipc(_points(spark, sf)))
+    at = fresh(spark, "arrow")
+    formats.write_arrow(_points(spark, sf), at)
+    return formats.read_arrow(spark, at)
 
 
 @query(f"WITH {EV} SELECT 'metric' AS measurement, 'type' || chr(31) || event_type AS series_key, ts, value::DOUBLE AS value FROM ev")

@@ -6,10 +6,12 @@ Values travel as lossless decimal text unless a file is typed.  An empty CSV val
 from __future__ import annotations
 
 import io
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tempograin.functions.decimals import is_decimal
 from tempograin.functions.grid import instant
@@ -86,12 +88,42 @@ def to_ipc(df: DataFrame, unit: str = "us", most: int = 10_000_000) -> bytes:
     table = df.limit(most + 1).toArrow()
     if table.num_rows > most:
         raise ValueError(f"more than {most} rows")
-    table = table.replace_schema_metadata({"time_unit": unit})
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
+    return _stream(table.schema, table.to_batches(), unit)
+
+
+def _stream(schema: pa.Schema, batches: Iterable[pa.RecordBatch], unit: str) -> bytes:
+    metadata, sink = {"time_unit": unit}, io.BytesIO()
+    with pa.ipc.new_stream(sink, schema.with_metadata(metadata)) as w:
+        for b in batches:
+            w.write_batch(b.replace_schema_metadata(metadata))
     return sink.getvalue()
 
 
 def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
     return spark.createDataFrame(pa.ipc.open_stream(data).read_all())
+
+
+def write_arrow(df: DataFrame, path: str, unit: str = "us") -> None:
+    """A result of any size as Arrow IPC streams, which its tasks write and the driver never holds: Parquet rows of a stream ``ipc`` each.
+
+    A stream is one batch, as large as Spark hands it out; one more holds the schema alone, so that no rows are read back as such.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_stream(b.schema, [b], unit)], pa.binary())], ["ipc"])
+
+    head = df.sparkSession.createDataFrame([(_stream(df.limit(0).toArrow().schema, [], unit),)], "ipc binary")
+    df.mapInArrow(encode, "ipc binary").unionByName(head).write.parquet(path)
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_arrow` wrote; one stream goes to the driver, for the schema."""
+    raw = spark.read.schema("ipc binary").parquet(path)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one in b.column(0):
+                yield from pa.ipc.open_stream(one.as_buffer())
+
+    return raw.mapInArrow(decode, from_arrow_schema(pa.ipc.open_stream(bytes(raw.first()[0])).schema))

@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,20 @@ def test_json_ingested_keeps_events_of_one_instant(spark, tmp_path):
     rows = QUERIES["json_ingested"](spark, at).select("series_key", "ts", "value").collect()
     assert Counter((r.ts, r.value) for r in rows) == expected
     assert all(r.series_key == f"type\x1ft{int(4 * r.value) % 5}" for r in rows)
+
+
+def test_arrow_streams_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    at, expected = events(spark, tmp_path)
+
+    def refused(*_):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(formats, "to_ipc", refused)
+    assert Counter(map(tuple, QUERIES["arrow_round_trip"](spark, at).collect())) == expected
+    d = spark.sql("SELECT * FROM VALUES (1, 1.50BD, 'a', array(1, NULL), timestamp'2024-01-01 00:00:00'), (NULL, NULL, NULL, NULL, NULL) AS t (a, b, c, d, e)").repartition(3)
+    for name, rows in (("some", d), ("none", d.where("false"))):
+        formats.write_arrow(rows, f"file://{tmp_path}/{name}", "ms")
+        back = formats.read_arrow(spark, f"file://{tmp_path}/{name}")
+        assert back.dtypes == d.dtypes and sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+        streams = [pa.ipc.open_stream(bytes(r[0])) for r in spark.read.parquet(f"file://{tmp_path}/{name}").collect()]
+        assert {s.schema.metadata[b"time_unit"] for s in streams} == {b"ms"} and sum(s.read_all().num_rows for s in streams) == rows.count()
