@@ -32,6 +32,7 @@ from tempograin.functions.tags import select_series, series_key, tags_of
 from tempograin.operators import reads
 from tempograin.operators.interpolate import MOST_POINTS, interpolate
 from tempograin.operators.reduce import DEFAULT, downsample
+from tempograin.plans.scratch import written
 
 #: Rows in files: newly ingested ones take their seal from the commit, rewritten ones keep their own.
 ROWS = "series_key string, ts long, value decimal(38,18), seal_seq long, row_seq long, attempt string, part_day long"
@@ -312,7 +313,7 @@ class Store:
         """Seal each body of ``points`` (body, ts, value, seq[, tags]) by itself and in the order given, as an :meth:`ingest` of each would, by jobs that all bodies share.
 
         Nothing is committed before all are written. If one is refused they are halved, so those before it are sealed and its own error is raised.
-        ``points`` is read several times and must be the same each time.
+        ``points`` is computed once, or in that case again for each half.
         """
         if not bodies:
             return []
@@ -320,7 +321,7 @@ class Store:
         known = {c["key"]: c for c in log if c.get("key") is not None}
         new = {b.number: uuid.uuid4().hex for b in bodies if b.key not in known}
         try:
-            made = self._prepared(a, points.where(F.col("body").isin([b.number for b in bodies])), ["body"])
+            made = written(self._prepared(a, points.where(F.col("body").isin([b.number for b in bodies])), ["body"]), "bodies")
             if strict := [b.number for b in bodies if b.require_sorted]:
                 bad = reads.order_violations(made.where(F.col("body").isin(strict)).withColumn("seal_seq", F.lit(0)), ["body", "series_key", "seal_seq"]).first()
                 if bad:
@@ -331,8 +332,8 @@ class Store:
             for most in {b.most_rows_per_file for b in bodies if b.number in new}:
                 self._write_attempts(aspect, made, {b.number: new[b.number] for b in bodies if b.number in new and b.most_rows_per_file == most}, most)
             if new:
-                written = self.spark.read.schema(ROWS).option("basePath", self._data(aspect)).parquet(*[self._data(aspect, x) for x in new.values()])
-                marks |= self._marks(written, True, ["attempt"])
+                made = self.spark.read.schema(ROWS).option("basePath", self._data(aspect)).parquet(*[self._data(aspect, x) for x in new.values()])
+                marks |= self._marks(made, True, ["attempt"])
         except Exception:
             if len(bodies) == 1:
                 raise
